@@ -44,7 +44,7 @@ def random_sample(weighted: DataFrame, key: str, draws: int, seed: int) -> DataF
     cut = intervals(weighted, key).select(F.struct("hi", key).alias("e"))
     edges = cut.agg(F.sort_array(F.collect_list("e")).alias("edges")).first()["edges"]
     highs = F.array(*[F.lit(float(e["hi"])) for e in edges])
-    keys = F.array(*[F.lit(e[key]) for e in edges])
+    keys = F.array(*[F.lit(e[key]) for e in edges]).cast(f"array<{dict(weighted.dtypes)[key]}>")
     spark = weighted.sparkSession
     numbered = spark.range(draws).select(F.col("id").alias("draw"))
     u = uniform(seed, F.col("draw"))

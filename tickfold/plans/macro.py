@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickfold.operators.features import centroids, weights
 from tickfold.operators.kmeans import fit_kmeans, lloyd
+from tickfold.operators.nearest import Model, nearest
 from tickfold.operators.sampling import random_sample, systematic_sample
 from tickfold.plans.history import horizon
 
@@ -57,8 +58,6 @@ def sampled_macro_clusters(
 
 
 def _described(points: DataFrame, centers: np.ndarray) -> DataFrame:
-    from tickfold.operators.nearest import Model, nearest
-
     spark = points.sparkSession
     table = [(i, [float(v) for v in c]) for i, c in enumerate(centers)]
     named = spark.createDataFrame(table, "cluster int, center array<double>")
@@ -105,7 +104,7 @@ def offline_sweep(
     """
     mcs = centroids(horizon(snapshots, requests, ticks, dims))
 
-    def cluster(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         x = np.stack(rows["centroid"].to_numpy())
         centers, weight = weighted_lloyd(x, rows["n"].to_numpy(dtype=float), k, iterations)

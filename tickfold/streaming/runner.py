@@ -16,6 +16,10 @@ from tickfold.sources.exports import write_centers
 Hook = Callable[[OnlineModel, Row], None]
 
 
+# Room for the ticks of one batch when they are numbered for replay.
+TICKS_PER_BATCH = 1 << 20
+
+
 def start(
     points: DataFrame,
     model: OnlineModel,
@@ -23,18 +27,30 @@ def start(
     on_tick: Hook | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the online model on a streaming DataFrame; every batch is a tick.
+    """Start the online model on a streaming DataFrame.
 
-    A batch that is repeated after a failure starts from the state before it and
-    overwrites its own output. ``on_tick`` runs after the tick is committed, in
-    the same batch, so it too is repeated with it.
+    Every batch is a tick; if the points carry an event-time tick ``tc``, a batch
+    is cut by it, in ascending order. A batch that is repeated after a failure
+    starts from the state before it and overwrites its own output. ``on_tick``
+    runs after the tick is committed, in the same batch, so it too is repeated
+    with it.
     """
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        row = model.step(batch, batch_id)
+    def step(part: DataFrame, number: int, tick: int | None = None) -> None:
+        row = model.step(part, number, tick)
         if row is not None and on_tick is not None:
             on_tick(model, row)
 
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        first = batch_id * TICKS_PER_BATCH
+        if "tc" not in batch.columns:
+            step(batch, first)
+            return
+        batch = batch.persist()
+        for i, tick in enumerate(catalog_of(batch)):
+            step(batch.where(F.col("tc") == tick), first + i, tick)
+        batch.unpersist()
+
     writer = points.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
