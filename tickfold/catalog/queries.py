@@ -305,6 +305,23 @@ def closest_pair(spark, d):
     return pair.select("pos_a", "pos_b", r("d2").alias("d2"))
 
 
+@query
+def distance_to_mean(spark, d):
+    """From each micro-cluster to the mean of all points."""
+    mcs = T.label_clusters(spark, d)
+    everything = feat.features_of_points(T.embedding_points(spark, d), [], T.EMBEDDING_DIMS)
+    mean = everything.select(feat.centroid_of(F.col("n"), F.col("cf1x"))).first()[0]
+    found = feat.squared_distance_to(mcs, V.literal(mean))
+    return found.select("mc_id", r("d2").alias("d2"))
+
+
+@query
+def slot_lookup(spark, d):
+    """Slot of each part key among the labels; most are no label."""
+    asked = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("mc_id")).distinct()
+    return feat.slots_of(T.label_clusters(spark, d), asked).select("mc_id", "pos")
+
+
 @query
 def merge_closest(spark, d):
     mcs = T.label_clusters(spark, d)
@@ -722,7 +739,7 @@ def macro_kmeans(spark, d):
 def macro_sampled(spark, d):
     snapshots, ticks = T.daily_snapshots(spark, d)
     mcs = history.snapshot_at(snapshots, ticks[-1])
-    out = macro.sampled_macro_clusters(mcs, 5, 5000, seed=1)
+    out = macro.sampled_macro_clusters(mcs, 5, 5000, seed=1, tol=0.0)
     return out.select("cluster", "weight", r(F.col("center")[0], 4).alias("c0"),
                       r(F.col("center")[1], 4).alias("c1"))
 

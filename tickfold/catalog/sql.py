@@ -270,6 +270,15 @@ SQL["closest_pair"] = f"""WITH {_MCPAIRS},
 b AS (SELECT min((d2, pos, other)) AS m FROM mp WHERE pos < other)
 SELECT m[2] AS pos_a, m[3] AS pos_b, {r('m[1]')} AS d2 FROM b"""
 
+SQL["distance_to_mean"] = f"""WITH {EMBEDDED},
+m AS (SELECT dim, sum(v) / count(*) AS c FROM el GROUP BY dim)
+SELECT CAST(pos AS BIGINT) AS mc_id, {r('sum((lc.c - m.c) * (lc.c - m.c))')} AS d2
+FROM lc JOIN m USING (dim) GROUP BY pos"""
+
+SQL["slot_lookup"] = f"""WITH {EMBEDDED}
+SELECT DISTINCT l_partkey AS mc_id, coalesce(CAST(cx.pos AS INTEGER), -1) AS pos
+FROM lineitem LEFT JOIN cx ON cx.pos = l_partkey"""
+
 SQL["merge_closest"] = f"""WITH {_MCPAIRS},
 b AS (SELECT min((d2, pos, other)) AS m FROM mp WHERE pos < other),
 t AS (SELECT lc.*, CASE WHEN pos = m[3] THEN m[2] ELSE pos END AS into_pos FROM lc CROSS JOIN b)
@@ -495,3 +504,65 @@ FROM w GROUP BY tc"""
 
 SQL["online_partitioned"] = f"""WITH {_TOTALS}
 SELECT tc, count(*) AS n, {r('sum(a)', 4)} AS s1_0 FROM w GROUP BY tc"""
+
+# -- macro-clusters -----------------------------------------------------------
+
+
+def _weighted_rounds(rounds: int, keys: str) -> str:
+    """k-means over ``mp`` ({keys}, x0, x1, w) from the centers ``k0`` ({keys}, c, c0, c1)."""
+    on = " AND ".join(f"k.{k} = mp.{k}" for k in keys.split(", "))
+    parts = []
+    for i in range(1, rounds + 1):
+        parts.append(
+            f"""k{i} AS MATERIALIZED (
+  SELECT k.{keys.replace(', ', ', k.')}, k.c, coalesce(g.c0, k.c0) AS c0, coalesce(g.c1, k.c1) AS c1
+  FROM k{i - 1} k LEFT JOIN (
+    SELECT {keys}, c, sum(x0 * w) / sum(w) AS c0, sum(x1 * w) / sum(w) AS c1 FROM (
+      SELECT mp.{keys.replace(', ', ', mp.')}, mp.pos, any_value(x0) AS x0, any_value(x1) AS x1,
+             any_value(w) AS w,
+             min(((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1), c))[2] AS c
+      FROM mp JOIN k{i - 1} k ON {on} GROUP BY ALL)
+    GROUP BY {keys}, c) g USING ({keys}, c))"""
+        )
+    return ",\n".join(parts)
+
+
+SQL["offline_sweep"] = f"""WITH {HORIZON},
+mp AS MATERIALIZED (SELECT tc, h, pos, a1 / n AS x0, b1 / n AS x1, n AS w FROM hz WHERE n > 0),
+k0 AS MATERIALIZED (
+  SELECT tc, h, c, x0 AS c0, x1 AS c1 FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY tc, h ORDER BY w DESC, pos) - 1 AS INTEGER) AS c
+    FROM mp) WHERE c < 5),
+{_weighted_rounds(20, 'tc, h')},
+held AS (SELECT tc, h, c, sum(w) AS weight FROM (
+    SELECT mp.tc, mp.h, mp.pos, any_value(w) AS w,
+           min(((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1), c))[2] AS c
+    FROM mp JOIN k20 k ON k.tc = mp.tc AND k.h = mp.h GROUP BY mp.tc, mp.h, mp.pos)
+  GROUP BY tc, h, c)
+SELECT tc, h, c AS cluster, CAST(coalesce(weight, 0) AS DOUBLE) AS weight,
+       {r('c0', 4)} AS c0, {r('c1', 4)} AS c1
+FROM k20 LEFT JOIN held USING (tc, h, c)"""
+
+SQL["macro_sampled"] = f"""WITH {SNAPSHOTS},
+mc AS MATERIALIZED (SELECT 0 AS one, pos, a1 / n AS x0, b1 / n AS x1, n FROM sn
+       WHERE tc = (SELECT max(tc) FROM tk) AND n > 0),
+ws AS (SELECT pos, n / sum(n) OVER () AS w FROM mc),
+cut AS MATERIALIZED (SELECT pos, CASE WHEN pos = (SELECT max(pos) FROM ws) THEN 1.0
+                ELSE sum(w) OVER (ORDER BY pos) END AS hi FROM ws),
+draw AS (SELECT i, {uniform("'1|' || i")} AS u FROM range(5000) t(i)),
+hit AS (SELECT pos, count(*) AS w FROM (
+    SELECT (SELECT min(pos) FROM cut WHERE hi >= u) AS pos FROM draw) GROUP BY pos),
+mp AS MATERIALIZED (SELECT one, pos, x0, x1, w FROM mc JOIN hit USING (pos)),
+k0 AS MATERIALIZED (
+  SELECT one, c, x0 AS c0, x1 AS c1 FROM (
+    SELECT CAST(i AS INTEGER) AS c,
+           (SELECT min(pos) FROM cut WHERE hi >= {uniform("'2|' || i")}) AS pos
+    FROM range(5) t(i)) JOIN mc USING (pos)),
+{_weighted_rounds(20, 'one')},
+held AS (SELECT c, sum(n) AS weight FROM (
+    SELECT pos, any_value(n) AS n,
+           min(((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1), c))[2] AS c
+    FROM mc CROSS JOIN k20 GROUP BY pos) GROUP BY c)
+SELECT c AS cluster, CAST(coalesce(weight, 0) AS DOUBLE) AS weight,
+       {r('c0', 4)} AS c0, {r('c1', 4)} AS c1
+FROM k20 LEFT JOIN held USING (c)"""

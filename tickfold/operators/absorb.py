@@ -15,9 +15,15 @@ from tickfold.operators.nearest import Model, matrix_of, nearest_rows
 # or with n > 1 a group of outliers. ``cf2x`` of a single point is left out.
 WORK = "pos int, point_id bigint, n bigint, cf1x array<double>, cf2x array<double>"
 
+VECTOR = pa.list_(pa.float64())
+
 
 def vectors_to_arrow(rows) -> pa.Array:
-    return pa.array([None if r is None else list(r) for r in rows], pa.list_(pa.float64()))
+    """A matrix, or a list of equally long vectors and Nones, as a list column."""
+    if isinstance(rows, np.ndarray):
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+    return pa.array([None if r is None else list(r) for r in rows], VECTOR)
 
 
 def _work_batch(pos, point_id, n, cf1x, cf2x) -> pa.RecordBatch:
@@ -28,7 +34,7 @@ def _work_batch(pos, point_id, n, cf1x, cf2x) -> pa.RecordBatch:
             pa.nulls(size, pa.int64()) if point_id is None else pa.array(point_id, pa.int64()),
             pa.array(n, pa.int64()),
             vectors_to_arrow(cf1x),
-            vectors_to_arrow(cf2x),
+            pa.nulls(size, VECTOR) if cf2x is None else vectors_to_arrow(cf2x),
         ],
         names=["pos", "point_id", "n", "cf1x", "cf2x"],
     )
@@ -100,9 +106,7 @@ def absorb(
                     for i, pid in zip(rest, ids):
                         groups.place(1, x[i], np.square(x[i]), tag=pid)
                 else:
-                    yield _work_batch(
-                        None, ids, np.ones(len(rest), np.int64), x[rest], [None] * len(rest)
-                    )
+                    yield _work_batch(None, ids, np.ones(len(rest), np.int64), x[rest], None)
         yield sums.batch(model.pos)
         if group_outliers:
             yield groups_batch(groups)

@@ -116,6 +116,17 @@ def weights(mcs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return full.join(totals, by).withColumn("weight", F.col("n") / F.col("_all")).drop("_all")
 
 
+def squared_distance_to(mcs: DataFrame, point: Column) -> DataFrame:
+    """Add ``d2``, from the centroid of each micro-cluster to a point."""
+    return mcs.withColumn("d2", V.squared_distance(F.col("centroid"), point))
+
+
+def slots_of(mcs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Slot ``pos`` of each asked ``mc_id``, -1 for those that are not there."""
+    found = ids.join(mcs.select("mc_id", "pos"), "mc_id", "left")
+    return found.withColumn("pos", F.coalesce("pos", F.lit(-1)))
+
+
 def with_rmsd(mcs: DataFrame) -> DataFrame:
     """Add ``centroid`` and ``rmsd``.
 

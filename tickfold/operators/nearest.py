@@ -94,9 +94,11 @@ def nearest_rows(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
         scale = np.einsum("ij,ij->i", part, part) + center_norm.max()
         low = scores[np.arange(len(part)), pick] + 1e-10 * scale
         close = np.nonzero((scores <= low[:, None]).sum(axis=1) > 1)[0]
-        for i in close:
-            exact = np.square(centers - part[i]).sum(axis=1)
-            pick[i] = exact.argmin()
+        few = max(1, TILE // centers.size)
+        for at in range(0, len(close), few):
+            rows = close[at : at + few]
+            exact = np.square(part[rows, None, :] - centers[None]).sum(axis=2)
+            pick[rows] = exact.argmin(axis=1)
         best[lo : lo + step] = pick
     return best, np.square(x - centers[best]).sum(axis=1)
 
@@ -133,12 +135,15 @@ def _nearest_other_udf(model: Model, later_only: bool):
         points = matrix_of(x)
         index = np.zeros(len(points), dtype=np.int64)
         d2 = np.empty(len(points))
-        for i, point in enumerate(points):
-            exact = np.square(model.centroid - point).sum(axis=1)
+        few = max(1, TILE // max(1, model.centroid.size))
+        for at in range(0, len(points), few):
+            part = slice(at, at + few)
+            exact = np.square(points[part, None, :] - model.centroid[None]).sum(axis=2)
             # Either the slots after this one, or all at a distance from it.
-            exact[model.pos <= own[i] if later_only else exact == 0.0] = np.inf
-            index[i] = exact.argmin()
-            d2[i] = exact[index[i]]
+            others = model.pos[None] > own[part, None] if later_only else exact > 0.0
+            exact[~others] = np.inf
+            index[part] = exact.argmin(axis=1)
+            d2[part] = exact.min(axis=1)
         return _matches(model, index, d2)
 
     return nearest_other

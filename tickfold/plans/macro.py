@@ -34,6 +34,7 @@ def sampled_macro_clusters(
     iterations: int = 20,
     seed: int = 0,
     systematic: bool = False,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """k-means on ``draws`` centroids sampled by weight, from k sampled centers.
 
@@ -51,7 +52,7 @@ def sampled_macro_clusters(
     sample = sample.select(F.col("pos").cast("bigint").alias("point_id"), "x", "weight").persist()
     start = random_sample(weighted, "pos", k, seed + 1).join(points, "pos").orderBy("draw")
     start = np.array([r["x"] for r in start.collect()])
-    centers = lloyd(sample, start, iterations)
+    centers = lloyd(sample, start, iterations, tol)
     out = _described(points, centers)
     sample.unpersist()
     return out
