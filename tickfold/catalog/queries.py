@@ -42,8 +42,12 @@ def query(fn):
 
 
 def r(c, digits: int = 6) -> Column:
-    """Rounded for comparison; adding zero turns -0.0 into 0.0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Rounded for comparison, shifted off exact ties, which engines round differently.
+
+    Adding zero turns -0.0 into 0.0.
+    """
+    value = F.col(c) if isinstance(c, str) else c
+    return F.round(value + F.lit(3.1 * 10.0 ** -(digits + 2)), digits) + F.lit(0.0)
 
 
 def flat(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
@@ -487,15 +491,13 @@ def expire_snapshots(spark, d):
 def centers_text(spark, d):
     snapshots, ticks = T.daily_snapshots(spark, d)
     path = run_dir(spark, "centers")
-    centers = feat.centroids(snapshots).select(
-        "tc", F.transform("centroid", lambda v: F.round(v, 3)).alias("center")
-    )
+    centers = feat.centroids(snapshots).select("tc", F.col("centroid").alias("center"))
     exports.write_centers(centers, path, run_num=1)
     stored = spark.read.text(path)
     parts = F.split("value", "[,_]")
     return stored.select(
         F.col("tc").cast("bigint").alias("tc"), F.col("run").cast("int").alias("run"),
-        parts[0].cast("double").alias("c0"), parts[1].cast("double").alias("c1"),
+        r(parts[0].cast("double")).alias("c0"), r(parts[1].cast("double")).alias("c1"),
         parts[2].cast("int").alias("run_suffix"),
     )
 

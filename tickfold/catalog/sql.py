@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0"
+    return f"round(({expr}) + {3.1 * 10.0 ** -(digits + 2)!r}, {digits}) + 0.0"
 
 
 def horner(coefficients, x: str) -> str:
@@ -379,7 +379,7 @@ WHERE NOT tc < (SELECT max(tc) FROM tk) - 6 + 1 GROUP BY tc"""
 # -- text exports -------------------------------------------------------------
 
 SQL["centers_text"] = f"""WITH {SNAPSHOTS}
-SELECT tc, 1 AS run, round(a1 / n, 3) AS c0, round(b1 / n, 3) AS c1, 1 AS run_suffix
+SELECT tc, 1 AS run, {r('a1 / n')} AS c0, {r('b1 / n')} AS c1, 1 AS run_suffix
 FROM sn WHERE n > 0"""
 
 SQL["snapshot_text"] = f"""WITH {SNAPSHOTS}
@@ -414,8 +414,8 @@ SQL["lloyd_step"] = f"""WITH {_lloyd(1)}
 SELECT pos, n, dim, {r('c')} AS value FROM m1"""
 
 SQL["lloyd_iterations"] = f"""WITH {_lloyd(3)}
-SELECT CAST(pos AS INTEGER) AS cluster, CAST(unnest(range({EMBEDDING_DIMS})) AS INTEGER) AS dim,
-       round(unnest(c), 6) + 0.0 AS value FROM k3"""
+SELECT CAST(pos AS INTEGER) AS cluster, CAST(dim AS INTEGER) AS dim, {r('v')} AS value
+FROM (SELECT pos, unnest(range({EMBEDDING_DIMS})) AS dim, unnest(c) AS v FROM k3)"""
 
 _QUARTERS = """q0 AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY quarter) - 1 AS INTEGER) AS pos, c0, c1, CAST({w} AS DOUBLE) AS w

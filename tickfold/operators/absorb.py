@@ -49,12 +49,12 @@ class _Sums:
         self.cf2x = np.zeros((q, dims))
 
     def add(self, index, x, w):
-        # A one-hot matrix turns the grouped sums into matrix products.
-        hot = np.zeros((len(self.n), len(x)))
-        hot[index, np.arange(len(x))] = w
-        self.n += hot.sum(axis=1)
-        self.cf1x += hot @ x
-        self.cf2x += hot @ np.square(x)
+        q = len(self.n)
+        self.n += np.bincount(index, w, q)
+        for j in range(x.shape[1]):
+            v = x[:, j] if w is None else x[:, j] * w
+            self.cf1x[:, j] += np.bincount(index, v, q)
+            self.cf2x[:, j] += np.bincount(index, v * x[:, j], q)
 
     def batch(self, pos):
         used = np.nonzero(self.n > 0)[0]
@@ -86,27 +86,26 @@ def absorb(
     def run(batches):
         sums = _Sums(len(model.pos), model.dims)
         groups = Slots.empty(len(model.pos), model.dims, t_factor, model.centroid)
-        step = max(1, 4_000_000 // len(model.pos))
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                x = matrix_of(part.column(1))
-                if shift is not None:
-                    x = (x - shift) * inverse
-                w = part.column(2).to_numpy() if weighted else 1.0
-                index, d2 = nearest_rows(x, model.centroid)
-                inside = np.sqrt(d2) <= t_factor * model.rmsd[index]
-                if inside.all():
-                    sums.add(index, x, w)
-                    continue
-                sums.add(index[inside], x[inside], w[inside] if weighted else w)
-                rest = np.nonzero(~inside)[0]
-                ids = part.column(0).to_numpy()[rest]
-                if group_outliers:
-                    for i, pid in zip(rest, ids):
-                        groups.place(1, x[i], np.square(x[i]), tag=pid)
-                else:
-                    yield _work_batch(None, ids, np.ones(len(rest), np.int64), x[rest], None)
+            if batch.num_rows == 0:
+                continue
+            x = matrix_of(batch.column(1))
+            if shift is not None:
+                x = (x - shift) * inverse
+            w = batch.column(2).to_numpy() if weighted else None
+            index, d2 = nearest_rows(x, model.centroid)
+            inside = np.sqrt(d2) <= t_factor * model.rmsd[index]
+            if inside.all():
+                sums.add(index, x, w)
+                continue
+            sums.add(index[inside], x[inside], w[inside] if weighted else None)
+            rest = np.nonzero(~inside)[0]
+            ids = batch.column(0).to_numpy()[rest]
+            if group_outliers:
+                for i, pid in zip(rest, ids):
+                    groups.place(1, x[i], np.square(x[i]), tag=pid)
+            else:
+                yield _work_batch(None, ids, np.ones(len(rest), np.int64), x[rest], None)
         yield sums.batch(model.pos)
         if group_outliers:
             yield groups_batch(groups)

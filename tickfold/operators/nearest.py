@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Centroids shipped to a task at once, and distances held by a task at once.
+# Centroids shipped to a task at once.
 BLOCK_ROWS = 4096
-TILE = 4_000_000
+# Distances a task holds at once: few enough to stay in its cache.
+TILE = 262_144
 
 
 @dataclass(frozen=True)
@@ -81,26 +82,31 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 def nearest_rows(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest center and the exact squared distance, per row of ``x``.
 
-    Matrix products find the candidates; rows where two candidates are too close
-    for their rounding are decided by exact differences, first center winning.
+    Matrix products rank the centers; rows whose best two are too close for the
+    rounding of that are decided by exact differences, first center winning.
     """
     best = np.empty(len(x), dtype=np.int64)
-    center_norm = np.einsum("ij,ij->i", centers, centers)
+    gap = np.empty(len(x))
+    norm = np.einsum("ij,ij->i", centers, centers)
+    double = np.ascontiguousarray(-2.0 * centers.T)
     step = max(1, TILE // len(centers))
     for lo in range(0, len(x), step):
-        part = x[lo : lo + step]
-        scores = center_norm - 2.0 * (part @ centers.T)
+        scores = x[lo : lo + step] @ double
+        scores += norm
+        rows = np.arange(len(scores))
         pick = scores.argmin(axis=1)
-        scale = np.einsum("ij,ij->i", part, part) + center_norm.max()
-        low = scores[np.arange(len(part)), pick] + 1e-10 * scale
-        close = np.nonzero((scores <= low[:, None]).sum(axis=1) > 1)[0]
-        few = max(1, TILE // centers.size)
-        for at in range(0, len(close), few):
-            rows = close[at : at + few]
-            exact = np.square(part[rows, None, :] - centers[None]).sum(axis=2)
-            pick[rows] = exact.argmin(axis=1)
+        low = scores[rows, pick]
+        scores[rows, pick] = np.inf
         best[lo : lo + step] = pick
-    return best, np.square(x - centers[best]).sum(axis=1)
+        gap[lo : lo + step] = scores.min(axis=1) - low
+    close = np.nonzero(gap <= 1e-10 * (np.einsum("ij,ij->i", x, x) + norm.max()))[0]
+    step = max(1, TILE // centers.size)
+    for lo in range(0, len(close), step):
+        rows = close[lo : lo + step]
+        exact = np.square(x[rows, None, :] - centers[None]).sum(axis=2)
+        best[rows] = exact.argmin(axis=1)
+    diff = x - centers[best]
+    return best, np.einsum("ij,ij->i", diff, diff)
 
 
 NEAREST = "struct<d2:double,pos:int,mc_id:bigint,rmsd:double>"

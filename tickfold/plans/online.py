@@ -75,8 +75,10 @@ class OnlineModel:
     # -- one tick ------------------------------------------------------------
 
     def step(self, points: DataFrame, batch_id: int, tick: int | None = None) -> Row | None:
-        """Fold one batch (``point_id, x``) into the model; None if it is empty.
+        """Fold one batch of points ``x`` into the model; None if it is empty.
 
+        Outliers are placed in the order of ``point_id``; without that column, in
+        reading order.
         Calling again with the same ``batch_id`` repeats the tick from the state
         before it and replaces what was written. ``tick`` moves the clock further
         than by one, for batches cut by event time.
@@ -85,6 +87,8 @@ class OnlineModel:
         meta, model = self._before(batch_id)
         tc = (meta["tc"] if meta else 0) + 1
         tc = max(tc, tick) if tick is not None else tc
+        if "point_id" not in points.columns:
+            points = points.withColumn("point_id", F.monotonically_increasing_id())
         points = valid_points(points.select("point_id", "x"), cfg.dims)
         n, mu, sd = self._scale(points, meta)
         if n == 0:

@@ -79,16 +79,14 @@ def stream_text_points(
 
     ``source`` is any Structured Streaming source with a ``value`` column. Limit
     the size of a batch with the option of that source
-    (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``). Kafka records carry
-    their place in the topic, from which a stable order is made; other sources
-    are numbered in reading order.
+    (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``). Kafka records get a
+    ``point_id`` from their place in the topic; points of other sources have
+    none, the model numbers them in reading order.
     """
     raw = spark.readStream.format(source).options(**options).load()
-    value = F.col("value").cast("string")
+    columns = [F.col("value").cast("string").alias("value")]
     if {"partition", "offset"} <= set(raw.columns):
         # 2^40 records per partition before two ids could meet.
-        point_id = F.shiftleft(F.col("partition").cast("bigint"), 40) + F.col("offset")
-    else:
-        point_id = F.monotonically_increasing_id()
-    lines = raw.select(point_id.alias("point_id"), value.alias("value"))
-    return points_of_lines(lines.where(F.trim("value") != ""), sep, label_last)
+        place = F.shiftleft(F.col("partition").cast("bigint"), 40) + F.col("offset")
+        columns.append(place.alias("point_id"))
+    return points_of_lines(raw.select(*columns).where(F.trim("value") != ""), sep, label_last)
