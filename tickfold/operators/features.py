@@ -12,9 +12,22 @@ from tickfold.operators.nearest import nearest_other
 # above it, one aggregate runs over (key, dimension).
 NARROW = 16
 
+# Size up to which a counted table is copied to every executor.
+MAX_BROADCAST_BYTES = 64 << 20
+
 SUMMED = ("n", "cf1x", "cf2x", "cf1t", "cf2t")
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Mark a small table for broadcast, after counting its rows.
+
+    A larger one is returned as it is: the planner then shuffles both sides and
+    splits skewed partitions.
+    """
+    df = df.persist()
+    return F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST_BYTES else df
+
+
 def combine(name: str, sign: str, other: str) -> str:
     """SQL of a feature plus or minus another one; null if either is."""
     if name in ("cf1x", "cf2x"):
@@ -123,7 +136,8 @@ def squared_distance_to(mcs: DataFrame, point: Column) -> DataFrame:
 
 def slots_of(mcs: DataFrame, ids: DataFrame) -> DataFrame:
     """Slot ``pos`` of each asked ``mc_id``, -1 for those that are not there."""
-    found = ids.join(mcs.select("mc_id", "pos"), "mc_id", "left")
+    slots = broadcast_if_small(mcs.select("mc_id", "pos"), row_bytes=16)
+    found = ids.join(slots, "mc_id", "left")
     return found.withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
@@ -135,7 +149,7 @@ def with_rmsd(mcs: DataFrame) -> DataFrame:
     """
     n, cf1x, cf2x = F.col("n"), F.col("cf1x"), F.col("cf2x")
     full = mcs.withColumn("centroid", centroid_of(n, cf1x))
-    full = nearest_other(full).withColumn(
+    full = nearest_other(full, where=n == 1).withColumn(
         "rmsd",
         F.when(n == 1, F.coalesce(F.sqrt("nearest.d2"), F.lit(float("inf")))).otherwise(
             rmsd_of(n, cf1x, cf2x)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Centroids shipped to a task at once.
@@ -137,10 +137,11 @@ def _nearest_udf(model: Model):
 def _nearest_other_udf(model: Model, later_only: bool):
     @F.arrow_udf(NEAREST)
     def nearest_other(pos: pa.Array, x: pa.Array) -> pa.Array:
-        own = pos.to_numpy(zero_copy_only=False)
-        points = matrix_of(x)
-        index = np.zeros(len(points), dtype=np.int64)
-        d2 = np.empty(len(points))
+        asked = np.nonzero(x.is_valid().to_numpy(zero_copy_only=False))[0]
+        own = pos.to_numpy(zero_copy_only=False)[asked]
+        points = matrix_of(x.drop_null())
+        index = np.zeros(len(x), dtype=np.int64)
+        d2 = np.full(len(x), np.inf)
         few = max(1, TILE // max(1, model.centroid.size))
         for at in range(0, len(points), few):
             part = slice(at, at + few)
@@ -148,8 +149,8 @@ def _nearest_other_udf(model: Model, later_only: bool):
             # Either the slots after this one, or all at a distance from it.
             others = model.pos[None] > own[part, None] if later_only else exact > 0.0
             exact[~others] = np.inf
-            index[part] = exact.argmin(axis=1)
-            d2[part] = exact.min(axis=1)
+            index[asked[part]] = exact.argmin(axis=1)
+            d2[asked[part]] = exact.min(axis=1)
         return _matches(model, index, d2)
 
     return nearest_other
@@ -165,17 +166,17 @@ def nearest(points: DataFrame, mcs: DataFrame | Model) -> DataFrame:
     return _least_of(points, [_nearest_udf(b)(F.col("x")) for b in blocks])
 
 
-def nearest_other(mcs: DataFrame, later_only: bool = False) -> DataFrame:
+def nearest_other(
+    mcs: DataFrame, later_only: bool = False, where: Column | None = None
+) -> DataFrame:
     """Add ``nearest``: the closest other micro-cluster of the same table.
 
     With ``later_only`` just those with a higher ``pos`` count, so that the
     minimum over all rows is the closest pair; without it, those at distance
-    zero do not count.
+    zero do not count. Rows that fail ``where`` are not looked up.
     """
-    found = [
-        _nearest_other_udf(b, later_only)(F.col("pos"), F.col("centroid"))
-        for b in model_blocks(mcs)
-    ]
+    asked = F.col("centroid") if where is None else F.when(where, F.col("centroid"))
+    found = [_nearest_other_udf(b, later_only)(F.col("pos"), asked) for b in model_blocks(mcs)]
     return _least_of(mcs.where(F.col("centroid").isNotNull()), found)
 
 

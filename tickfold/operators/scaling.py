@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickfold.functions import vectors as V
-from tickfold.operators.features import NARROW
+from tickfold.operators.features import NARROW, broadcast_if_small
 
 
 def _per_dim(function: str, dims: int):
@@ -55,10 +55,10 @@ def standardize(points: DataFrame, key: str, dims: int) -> DataFrame:
     """z-score every point by the moments of its own batch ``key``.
 
     Dimensions without spread, and batches of one row, become zero. The moments
-    are one row per batch: the adaptive planner sees their real size and
-    broadcasts them, so a batch holding most of the points does not move.
+    are one row per batch; as long as those are few they are broadcast, so the
+    points stay where they are, even if one batch holds most of them.
     """
-    stats = moments_by(points, key, dims)
+    stats = broadcast_if_small(moments_by(points, key, dims), row_bytes=16 * dims + 32)
     z = F.transform(
         F.arrays_zip("x", "mu", "sd"),
         lambda e: F.when(e["sd"] > 0, (e["x"] - e["mu"]) / e["sd"]).otherwise(0.0),
