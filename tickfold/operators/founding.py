@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
 def rmsd(n: float, cf1x: np.ndarray, cf2x: np.ndarray) -> float:
-    return float(np.sqrt(max(cf2x.sum() / n - np.square(cf1x).sum() / (n * n), 0.0)))
+    n = float(n)
+    return math.sqrt(max(cf2x.sum() / n - (cf1x @ cf1x) / (n * n), 0.0))
 
 
 class Slots:
@@ -35,11 +38,20 @@ class Slots:
         if len(self.pool) < 2:
             self.pool = list(range(self.q))
         self.founded: list[int] = []
-        self.known = np.zeros(self.q, dtype=bool)
+        self.rank: dict[int, int] = {}
+        # Current means of the founded micro-clusters, in the order of founding.
+        self._means = np.empty_like(centroid)
         self.tag = [None] * self.q
         self._pairs = None
+        self._place_in_pool = {s: i for i, s in enumerate(self.pool)}
         self._moved: set[int] = set()
 
+    def mark_founded(self, slot: int) -> None:
+        if slot not in self.rank:
+            self.rank[slot] = len(self.founded)
+            self.founded.append(slot)
+        self._means[self.rank[slot]] = self.cf1x[slot] / self.n[slot]
+
     @staticmethod
     def empty(q, dims, t_factor, reference) -> "Slots":
         """Slots of their own, for grouping outliers apart from the model."""
@@ -56,13 +68,12 @@ class Slots:
         anew unless ``merged_into`` is -1, and ``merged_into`` is the slot that
         took over the former content, or None if that was given up.
         """
-        centre = cf1x / n
         if self.founded and self.recursive:
-            means = self.cf1x[self.founded] / self.n[self.founded, None]
-            d2 = np.square(means - centre).sum(axis=1)
+            gaps = self._means[: len(self.founded)] - cf1x / n
+            d2 = np.einsum("ij,ij->i", gaps, gaps)
             at = int(d2.argmin())
             slot = self.founded[at]
-            if np.sqrt(d2[at]) <= self.t_factor * self.rmsd[slot]:
+            if math.sqrt(d2[at]) <= self.t_factor * self.rmsd[slot]:
                 self._add(slot, n, cf1x, cf2x)
                 return slot, -1
         if self.free:
@@ -78,47 +89,50 @@ class Slots:
 
     def _add(self, slot, n, cf1x, cf2x):
         self.n[slot] += n
-        self.cf1x[slot] = self.cf1x[slot] + cf1x
-        self.cf2x[slot] = self.cf2x[slot] + cf2x
+        self.cf1x[slot] += cf1x
+        self.cf2x[slot] += cf2x
         self.centroid[slot] = self.cf1x[slot] / self.n[slot]
         self.rmsd[slot] = rmsd(self.n[slot], self.cf1x[slot], self.cf2x[slot])
         self._moved.add(slot)
+        if slot in self.rank:
+            self._means[self.rank[slot]] = self.centroid[slot]
 
     def _found(self, slot, n, cf1x, cf2x, tag):
         self.n[slot], self.cf1x[slot], self.cf2x[slot] = n, cf1x, cf2x
         self.centroid[slot] = cf1x / n
         self.tag[slot] = tag
         self._moved.add(slot)
-        self.rmsd[slot] = (
-            self.nearest_distance(slot) if n == 1 else rmsd(n, cf1x, cf2x)
-        )
-        if not self.known[slot]:
-            self.known[slot] = True
-            self.founded.append(slot)
+        self.rmsd[slot] = self.nearest_distance(slot) if n == 1 else rmsd(n, cf1x, cf2x)
+        self.mark_founded(slot)
 
     def nearest_distance(self, slot) -> float:
         """Distance to the nearest other centroid, those at distance zero left out."""
         best = np.inf
         for others in (self.centroid, self.reference):
             if others is not None:
-                d2 = np.square(others - self.centroid[slot]).sum(axis=1)
-                d2 = d2[d2 > 0.0]
-                best = min(best, d2.min()) if len(d2) else best
-        return float(np.sqrt(best))
+                gaps = others - self.centroid[slot]
+                d2 = np.einsum("ij,ij->i", gaps, gaps)
+                # Empty slots have no centroid: their NaN is not above zero.
+                best = min(best, d2.min(where=d2 > 0.0, initial=np.inf))
+        return math.sqrt(best)
 
     def _closest(self) -> tuple[int, int]:
         """The closest two of the pool; the first pair in slot order wins ties."""
-        slots = np.array(self.pool)
+        size = len(self.pool)
         if self._pairs is None:
-            self._pairs = np.full((len(slots), len(slots)), np.inf)
+            self._pairs = np.full((size, size), np.inf)
+            self._slots = np.array(self.pool)
             self._moved = set(self.pool)
-        for i, slot in enumerate(self.pool):
-            if slot in self._moved:
-                d2 = np.square(self.centroid[slots] - self.centroid[slot]).sum(axis=1)
+        where = self._place_in_pool
+        for slot in self._moved:
+            if slot in where:
+                i = where[slot]
+                gaps = self.centroid[self._slots] - self.centroid[slot]
+                d2 = np.einsum("ij,ij->i", gaps, gaps)
                 self._pairs[i, i + 1 :] = d2[i + 1 :]
                 self._pairs[:i, i] = d2[:i]
         self._moved.clear()
-        i, j = divmod(int(self._pairs.argmin()), len(slots))
+        i, j = divmod(int(self._pairs.argmin()), size)
         return self.pool[i], self.pool[j]
 
     def refresh(self):
