@@ -93,8 +93,8 @@ def test_chunks_of_outliers_give_the_same_result(spark, make_points):
         assert meta["n_outliers"] > 7
         state = model.micro_clusters().orderBy("pos").collect()
         results.append([(r["mc_id"], r["n"], r["ids"], r["centroid"], r["rmsd"]) for r in state])
-        assert "scratch" not in model.ledger._folders(model.ledger.root) or not (
-            model.ledger._folders(f"{model.ledger.root}/scratch")
+        assert "scratch" not in model.ledger.folders(model.ledger.root) or not (
+            model.ledger.folders(f"{model.ledger.root}/scratch")
         )
     assert results[0] == results[1]
 
@@ -241,6 +241,21 @@ def test_old_snapshots_are_pruned_by_the_pyramid(spark, make_points):
     assert model.ledger.ticks() == [8, 9]
 
 
+def test_projected_stream_equals_projected_points(spark, make_points):
+    from tickfold.operators import scaling
+
+    batches = drifting(3, 40, dims=5, seed=12)
+    pca = scaling.fit_scaled_projection(make_points(batches[0]), 5, 2)
+    model = OnlineModel(spark, ModelConfig(q=5, dims=2, seed=1, t_factor=1.0), projection=pca)
+    naive = Naive(random_centers(5, 2, 1), 1.0, scale=False)
+    axes = pca.pc.toArray()
+    for i, rows in enumerate(batches):
+        model.step(make_points(rows, 100 * i), i)
+        z = (rows - rows.mean(axis=0)) / rows.std(axis=0, ddof=1)
+        naive.step((z @ axes).tolist())
+        check_same(model, naive)
+
+
 def test_settings_are_checked():
     for bad in (dict(q=0), dict(init="x"), dict(scaling="x"), dict(outliers="x"), dict(alpha=1),
                 dict(window_time=0)):

@@ -162,6 +162,14 @@ def pca_project(spark, d):
     )
 
 
+@query
+def pca_rotation(spark, d):
+    """All principal axes: a rotation, which keeps every length."""
+    p = T.embedding_points(spark, d)
+    out = scaling.project(p, scaling.fit_projection(p, T.EMBEDDING_DIMS))
+    return out.select("point_id", r(V.squared_norm("x")).alias("norm2"))
+
+
 # -- assignment ---------------------------------------------------------------
 
 
@@ -364,9 +372,8 @@ def stale_split_quantile(spark, d):
 
 
 def _stamps(spark, d, m):
-    p = T.event_points(spark, d)
-    users = T.table(spark, d, "events").select(F.col("event_id").alias("point_id"), "user_id")
-    per_tick = p.join(users, "point_id").groupBy("user_id", "tc")
+    events = T.table(spark, d, "events")
+    per_tick = events.groupBy("user_id", T.CLOCK.tick().alias("tc"))
     deltas = feat.with_times(per_tick.agg(F.count("*").alias("n")), "tc")
     mcs = deltas.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("n", "cf1t", "cf2t")])
     stamp = stats.recency_stamp(F.col("n"), F.col("cf1t"), F.col("cf2t"), m)

@@ -184,6 +184,9 @@ SELECT l_returnflag, count(*) AS n,
   {', '.join(f'{r(f"avg(z{i})")} AS z{i}, {r(f"max(z{i})")} AS top{i}' for i in range(4))}
 FROM z GROUP BY l_returnflag"""
 
+SQL["pca_rotation"] = f"""WITH {EMBEDDED}
+SELECT point_id, {r('sum(v * v)')} AS norm2 FROM el GROUP BY point_id"""
+
 # -- assignment ---------------------------------------------------------------
 
 SQL["assign_nearest"] = f"""WITH {ASSIGNED}

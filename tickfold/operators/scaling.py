@@ -79,6 +79,12 @@ def fit_projection(points: DataFrame, k: int) -> PCAModel:
     return PCA(k=k, inputCol="features", outputCol="projected").fit(vectors)
 
 
+def fit_scaled_projection(points: DataFrame, dims: int, k: int) -> PCAModel:
+    """Principal axes of the standardised points, for a model that scales its batches."""
+    _, mu, sd = moments(points, dims)
+    return fit_projection(standardize_with(points, mu, sd), k)
+
+
 def project(points: DataFrame, model: PCAModel) -> DataFrame:
     """Coordinates on the principal axes, replacing ``x``."""
     out = model.transform(points.withColumn("features", array_to_vector("x")))

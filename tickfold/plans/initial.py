@@ -40,12 +40,15 @@ class WarmCenters:
     weights: np.ndarray
 
     def moved(self, points: DataFrame, decay: float = 1.0, per_point: bool = False):
-        """Centers after one more batch.
+        """Centers after one more batch, which is read once.
 
         The old weights count ``decay`` as much as before, per batch or, with
         ``per_point``, per arriving point.
         """
-        rows = center_sums(points, self.centers).collect()
+        return self.moved_by(center_sums(points, self.centers).collect(), decay, per_point)
+
+    def moved_by(self, rows, decay: float = 1.0, per_point: bool = False):
+        """As ``moved``, from the sums of the batch: one row per center that got points."""
         arrived = sum(r["n"] for r in rows)
         weights = self.weights * (decay ** (arrived if per_point else 1))
         centers = self.centers.copy()

@@ -34,14 +34,14 @@ class Ledger:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _folders(self, path: str) -> list[str]:
+    def folders(self, path: str) -> list[str]:
         fs, target = self._hadoop(path)
         if not fs.exists(target):
             return []
         return [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
 
-    def _ticks_below(self, path: str) -> list[int]:
-        names = [n for n in self._folders(path) if n.startswith("tc=")]
+    def ticks_below(self, path: str) -> list[int]:
+        names = [n for n in self.folders(path) if n.startswith("tc=")]
         return sorted(int(n[3:]) for n in names)
 
     def drop(self, path: str) -> None:
@@ -56,8 +56,8 @@ class Ledger:
 
     def ticks(self, kind: str = "state") -> list[int]:
         """Ticks with a committed snapshot (or delta), from the folder names."""
-        committed = set(self._ticks_below(f"{self.root}/meta"))
-        found = self._ticks_below(f"{self.root}/ledger/kind={kind}")
+        committed = set(self.ticks_below(f"{self.root}/meta"))
+        found = self.ticks_below(f"{self.root}/ledger/kind={kind}")
         # A delta outlives the commit record of its tick.
         return [t for t in found if t in committed or (kind == "delta" and committed
                                                        and t <= max(committed))]
@@ -92,7 +92,7 @@ class Ledger:
 
     def last_before(self, batch_id: int) -> Row | None:
         """Newest commit record of an earlier batch: where a replay starts from."""
-        for tc in reversed(self._ticks_below(f"{self.root}/meta")):
+        for tc in reversed(self.ticks_below(f"{self.root}/meta")):
             meta = self.meta(tc)
             if meta is not None and meta["batch_id"] < batch_id:
                 return meta
@@ -130,12 +130,12 @@ class Ledger:
         repeated batch starts from the tick before its own.
         """
         dropped = []
-        for tc in self._ticks_below(f"{self.root}/ledger/kind=state"):
+        for tc in self.ticks_below(f"{self.root}/ledger/kind=state"):
             if tc < now - 1 and now >= tc + lifetime_of_tick(tc, alpha, l):
                 self.drop(f"{self.root}/ledger/kind=state/tc={tc}")
                 self.drop(self.path("meta", tc))
                 dropped.append(tc)
-        for tc in self._ticks_below(f"{self.root}/ledger/kind=delta"):
+        for tc in self.ticks_below(f"{self.root}/ledger/kind=delta"):
             if tc <= now - window_time - 1:
                 self.drop(f"{self.root}/ledger/kind=delta/tc={tc}")
         return dropped
@@ -143,7 +143,7 @@ class Ledger:
     def expire(self, now: int, window_time: int) -> int:
         """Delete every snapshot older than the window, with its delta."""
         threshold = now - window_time + 1
-        expired = [t for t in self._ticks_below(f"{self.root}/ledger/kind=state")
+        expired = [t for t in self.ticks_below(f"{self.root}/ledger/kind=state")
                    if t < threshold]
         for tc in expired:
             for path in (f"{self.root}/ledger/kind=state/tc={tc}",

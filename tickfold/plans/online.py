@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tickfold.config import ModelConfig, run_dir
 from tickfold.operators.absorb import absorb, combine_groups, left_over, partial_sums
 from tickfold.operators.lineage import subtract_related
 from tickfold.operators.nearest import Model
-from tickfold.operators.scaling import moments, standardize_with
+from tickfold.operators.scaling import moments, project, standardize_with
 from tickfold.plans import initial
 from tickfold.plans.ledger import Ledger
 from tickfold.plans.settle import (
@@ -36,9 +37,18 @@ class OnlineModel:
     a new one continues where the ledger ends.
     """
 
-    def __init__(self, spark: SparkSession, config: ModelConfig, root: str | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        config: ModelConfig,
+        root: str | None = None,
+        projection: PCAModel | None = None,
+    ):
+        """``projection`` takes the scaled points to ``config.dims`` principal axes."""
         self.spark = spark
         self.config = config
+        self.projection = projection
+        self.input_dims = projection.pc.numRows if projection else config.dims
         self.ledger = Ledger(spark, root or run_dir(spark, "model"))
         self._last: tuple[Row, Model | None] | None = None
 
@@ -89,7 +99,7 @@ class OnlineModel:
         tc = max(tc, tick) if tick is not None else tc
         if "point_id" not in points.columns:
             points = points.withColumn("point_id", F.monotonically_increasing_id())
-        points = valid_points(points.select("point_id", "x"), cfg.dims)
+        points = valid_points(points.select("point_id", "x"), self.input_dims)
         n, mu, sd = self._scale(points, meta)
         if n == 0:
             return None
@@ -99,10 +109,16 @@ class OnlineModel:
             "mu": None if mu is None else [float(v) for v in mu],
             "sd": None if sd is None else [float(v) for v in sd],
         }
+        if self.projection is not None:
+            if mu is not None:
+                points, mu, sd = standardize_with(points, mu, sd), None, None
+            points = project(points, self.projection)
         if model is None:
-            done = self._initialize(points, meta, context)
+            if mu is not None:
+                points = standardize_with(points, mu, sd)
+            done = self._initialize(points, n, meta, context)
         else:
-            done = self._maintain(points, meta, model, context)
+            done = self._maintain(points, mu, sd, meta, model, context)
         if done is None:
             return None
         model, done["next_id"] = self.ledger.model(tc) if done["initialized"] else (None, 0)
@@ -118,15 +134,15 @@ class OnlineModel:
             return None, None, None
         if cfg.scaling == "fixed" and meta and meta["mu"]:
             return None, np.array(meta["mu"]), np.array(meta["sd"])
-        return moments(points, cfg.dims)
+        return moments(points, self.input_dims)
 
-    def _maintain(self, points, meta, model, context) -> dict | None:
+    def _maintain(self, points, mu, sd, meta, model, context) -> dict | None:
         cfg, tc = self.config, context["tc"]
         state = self.ledger.state(meta["tc"])
         state, model = self._without_expired(state, model, tc)
 
         grouped = cfg.outliers == "partitioned"
-        work = absorb(points, model, cfg.t_factor, context["mu"], context["sd"], grouped)
+        work = absorb(points, model, cfg.t_factor, mu, sd, grouped)
         # Read twice below, and the batch is not to be assigned twice. If an
         # executor is lost, its part is computed again from the source.
         work = work.persist()
@@ -227,10 +243,8 @@ class OnlineModel:
 
     # -- first ticks ---------------------------------------------------------
 
-    def _initialize(self, points, meta, context) -> dict | None:
+    def _initialize(self, points, n, meta, context) -> dict | None:
         cfg, tc = self.config, context["tc"]
-        if context["mu"] is not None:
-            points = standardize_with(points, context["mu"], context["sd"])
         mode = cfg.init_mode
         seen = meta["n_total"] if meta else 0
         if mode == "kmeans":
@@ -238,7 +252,7 @@ class OnlineModel:
             total = points.count()
             n_batch = total - seen
         else:
-            n_batch = points.count()
+            n_batch = points.count() if n is None else n
             total = seen + n_batch
         if n_batch == 0:
             return None

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-import numpy as np
-
+from tickfold.operators.kmeans import center_sums
 from tickfold.plans.initial import WarmCenters, random_warm_centers
 from tickfold.plans.ledger import Ledger
 
@@ -45,7 +45,7 @@ class StreamingKMeans:
     def _before(self, batch_id: int) -> tuple[WarmCenters, int]:
         if self._last and self._last[0] < batch_id:
             return self._last[1], self._last[2]
-        done = [b for b in self._ledger._ticks_below(f"{self.root}/centers") if b < batch_id]
+        done = [b for b in self._ledger.ticks_below(f"{self.root}/centers") if b < batch_id]
         if not done:
             return self._first, 0
         rows = self.spark.read.parquet(f"{self.root}/centers/tc={done[-1]}").collect()
@@ -58,13 +58,14 @@ class StreamingKMeans:
     def update(self, points: DataFrame, batch_id: int) -> WarmCenters:
         """Centers after this batch; an empty one changes nothing."""
         warm, total = self._before(batch_id)
-        n = points.count()
-        if n == 0:
+        rows = center_sums(points, warm.centers).collect()
+        if not rows:
             return warm
-        moved = warm.moved(points, self.decay, self.per_point)
+        n = sum(r["n"] for r in rows)
+        moved = warm.moved_by(rows, self.decay, self.per_point)
         frame = self.to_frame(moved, total + n)
         frame.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/centers/tc={batch_id}")
-        for old in self._ledger._ticks_below(f"{self.root}/centers"):
+        for old in self._ledger.ticks_below(f"{self.root}/centers"):
             if old < batch_id - 1:
                 self._ledger.drop(f"{self.root}/centers/tc={old}")
         self._last = (batch_id, moved, total + n)
