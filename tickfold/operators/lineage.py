@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from tickfold.operators.features import SUMMED, combine, sum_features
 
 
-def lineage(newer: DataFrame, older: DataFrame, by: list[str]) -> DataFrame:
+def lineage(
+    newer: DataFrame, older: DataFrame, by: list[str], carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Pairs ``pos, old_pos`` whose id lists share an id, within equal ``by``.
 
-    An equi-join on the exploded ids: rows meet only where they match.
+    An equi-join on the exploded ids: rows meet only where they match. The
+    columns ``carry`` of the older side come along.
     """
     a = newer.select(*by, "pos", F.explode("ids").alias("id"))
-    b = older.select(*by, F.col("pos").alias("old_pos"), F.explode("ids").alias("id"))
-    return a.join(b, [*by, "id"]).select(*by, "pos", "old_pos").distinct()
+    b = older.select(*by, F.col("pos").alias("old_pos"), *carry, F.explode("ids").alias("id"))
+    pair = [*by, "pos", "old_pos"]
+    return a.join(b, [*by, "id"]).select(*pair, *carry).dropDuplicates(pair)
 
 
 def subtract_related(
@@ -26,16 +30,10 @@ def subtract_related(
     With ``drop_ids`` the ids of those are taken out as well, which leaves what
     was founded or absorbed since. Rows without relatives stay as they are.
     """
-    pairs = lineage(newer, older, by)
-    old = older.withColumnRenamed("pos", "old_pos")
-    related = pairs.join(old, [*by, "old_pos"])
     key = [*by, "pos"]
-    sums = sum_features(related, key, dims)
-    if drop_ids:
-        gone = related.groupBy(*key).agg(F.flatten(F.collect_list("ids")).alias("o_ids"))
-        sums = sums.join(gone, key)
-    else:
-        sums = sums.withColumn("o_ids", F.lit(None).cast("array<bigint>"))
+    older = older.withColumn("o_ids", F.col("ids") if drop_ids else F.array().cast("array<bigint>"))
+    related = lineage(newer, older, by, (*SUMMED, "o_ids"))
+    sums = sum_features(related, key, dims, gather=("o_ids",))
     sums = sums.selectExpr(*key, "o_ids", *[f"{c} as o_{c}" for c in SUMMED])
     joined = newer.join(sums, key, "left")
     changed = {c: f"coalesce({combine(c, '-', f'o_{c}')}, {c}) as {c}" for c in SUMMED}
