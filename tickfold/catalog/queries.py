@@ -667,7 +667,10 @@ STREAM = ModelConfig(
 
 @query
 def outlier_maintenance(spark, d):
-    """Last day placed on the hourly micro-clusters of the days before it."""
+    """Last day placed on the hourly micro-clusters of the days before it.
+
+    None of them counts as stale, so every outlier joins a founded one or merges two.
+    """
     deltas = T.hourly_deltas(spark, d)
     ticks = history.catalog_of(deltas)
     before = feat.sum_features(deltas.where(F.col("tc") < ticks[-1]), ["mc_id"], 2)
@@ -679,7 +682,7 @@ def outlier_maintenance(spark, d):
     desk = desk_rows(state, STATE_STAGE, next_id=100)
     desk = desk.unionByName(desk_rows(partial_sums(work, 2), DELTA_STAGE))
     desk = desk.unionByName(desk_rows(left_over(work), OUTLIER_STAGE))
-    done = settle(desk, Rule(ticks[-1], 1.0, True, m_last_points=20, delta=14))
+    done = settle(desk, Rule(ticks[-1], 1.0, True, m_last_points=20, delta=ticks[-1]))
     return flat(done.where(F.col("stage") == STATE_STAGE), "pos", "mc_id", digits=4)
 
 

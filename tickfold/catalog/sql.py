@@ -569,3 +569,100 @@ held AS (SELECT c, sum(n) AS weight FROM (
 SELECT c AS cluster, CAST(coalesce(weight, 0) AS DOUBLE) AS weight,
        {r('c0', 4)} AS c0, {r('c1', 4)} AS c1
 FROM k20 LEFT JOIN held USING (c)"""
+
+# -- placing outliers ---------------------------------------------------------
+
+_N = 24
+
+
+def _gap(i: str, j: str) -> str:
+    return f"(ca[{i}] - ca[{j}]) * (ca[{i}] - ca[{j}]) + (cb[{i}] - cb[{j}]) * (cb[{i}] - cb[{j}])"
+
+
+def _added(name: str, point: str) -> str:
+    """List ``name`` after the point joined ``slot``, or ``slot`` went to ``other``."""
+    return (
+        f"list_transform({name}, lambda v, i: CASE "
+        f"WHEN joined AND i = slot THEN v + {point} WHEN joined THEN v "
+        f"WHEN i = slot THEN {point} WHEN i = other THEN v + {name}[slot] ELSE v END) AS {name}"
+    )
+
+
+_MOVED = "((joined AND i = slot) OR (NOT joined AND i = other))"
+
+# One recursion step per outlier, in order: it either joins a founded
+# micro-cluster or makes two of the hours merge.
+SQL["outlier_maintenance"] = f"""WITH RECURSIVE {HOURLY},
+lt AS (SELECT max(tc) AS tc FROM dl),
+bf AS (SELECT CAST(mc_id AS INTEGER) AS pos, {SUMS} FROM dl
+       WHERE tc < (SELECT tc FROM lt) GROUP BY mc_id),
+mc AS MATERIALIZED (SELECT *, a1 / n AS ca, b1 / n AS cb,
+         sqrt(greatest((a2 + b2) / n - (a1 * a1 + b1 * b1) / (n * n), 0)) AS rm FROM bf),
+near AS (SELECT point_id, any_value(a) AS a, any_value(b) AS b,
+                min(((a - ca) * (a - ca) + (b - cb) * (b - cb), pos, rm)) AS m
+         FROM (SELECT * FROM v WHERE tc = (SELECT tc FROM lt)) CROSS JOIN mc GROUP BY point_id),
+pt AS MATERIALIZED (SELECT point_id, a, b, m[2] AS pos, sqrt(m[1]) <= m[3] AS inside FROM near),
+inl AS (SELECT pos, count(*) AS n, sum(a) AS a1, sum(b) AS b1, sum(a * a) AS a2, sum(b * b) AS b2
+        FROM pt WHERE inside GROUP BY pos),
+op AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) AS k, a, b
+                    FROM pt WHERE NOT inside),
+st AS (SELECT mc.pos, mc.n + coalesce(inl.n, 0) AS n, mc.a1 + coalesce(inl.a1, 0) AS a1,
+              mc.b1 + coalesce(inl.b1, 0) AS b1, mc.a2 + coalesce(inl.a2, 0) AS a2,
+              mc.b2 + coalesce(inl.b2, 0) AS b2,
+              mc.t1 + coalesce(inl.n, 0) * (SELECT tc FROM lt) AS t1,
+              mc.t2 + coalesce(inl.n, 0) * (SELECT tc * tc FROM lt) AS t2, ca, cb, rm
+       FROM mc LEFT JOIN inl USING (pos)),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS k, list(CAST(pos AS BIGINT) ORDER BY pos) AS ids,
+         {', '.join(f'list(CAST({c} AS {t}) ORDER BY pos) AS {c}' for c, t in (
+             ('n', 'BIGINT'), ('a1', 'DOUBLE'), ('b1', 'DOUBLE'), ('a2', 'DOUBLE'),
+             ('b2', 'DOUBLE'), ('t1', 'BIGINT'), ('t2', 'BIGINT'), ('ca', 'DOUBLE'),
+             ('cb', 'DOUBLE'), ('rm', 'DOUBLE')))},
+         CAST([] AS BIGINT[]) AS founded, CAST(100 AS BIGINT) AS next_id
+  FROM st
+  UNION ALL
+  SELECT k, ids, n, a1, b1, a2, b2, t1, t2, ca, cb,
+         list_transform(rm, lambda v, i: CASE
+           WHEN {_MOVED} THEN sqrt(greatest((a2[i] + b2[i]) / n[i]
+             - (a1[i] * a1[i] + b1[i] * b1[i]) / (n[i] * n[i]), 0))
+           WHEN NOT joined AND i = slot THEN sqrt(list_min(list_filter(
+             list_transform(range(1, {_N} + 1), lambda j: {_gap('j', 'slot')}),
+             lambda g: g <> 0)))
+           ELSE v END) AS rm,
+         founded, next_id
+  FROM (
+    SELECT k, joined, slot, other, n, a1, b1, a2, b2, t1, t2, rm,
+           list_transform(ids, lambda v, i: CASE WHEN NOT joined AND i = slot THEN next_id
+                                                 ELSE v END) AS ids,
+           list_transform(ca, lambda v, i: CASE WHEN {_MOVED} THEN a1[i] / n[i]
+                            WHEN NOT joined AND i = slot THEN a ELSE v END) AS ca,
+           list_transform(cb, lambda v, i: CASE WHEN {_MOVED} THEN b1[i] / n[i]
+                            WHEN NOT joined AND i = slot THEN b ELSE v END) AS cb,
+           CASE WHEN joined OR list_contains(founded, slot) THEN founded
+                ELSE list_append(founded, slot) END AS founded,
+           CASE WHEN joined THEN next_id ELSE next_id + 1 END AS next_id
+    FROM (
+      SELECT k, a, b, ids, ca, cb, rm, founded, next_id, joined, slot, other,
+             {_added('n', '1')}, {_added('a1', 'a')}, {_added('b1', 'b')},
+             {_added('a2', 'a * a')}, {_added('b2', 'b * b')},
+             {_added('t1', 'tc')}, {_added('t2', 'tc * tc')}
+      FROM (
+        SELECT *, CAST(CASE WHEN joined THEN hit[3] ELSE pair[3] END AS BIGINT) AS slot,
+               CAST(CASE WHEN joined THEN -1 ELSE pair[2] END AS BIGINT) AS other
+        FROM (
+          SELECT *, coalesce(sqrt(hit[1]) <= rm[CAST(hit[3] AS BIGINT)], false) AS joined
+          FROM (
+            SELECT op.k, op.a, op.b, f.* EXCLUDE (k), lt.tc,
+                   list_sort(list_transform(founded, lambda s, i: [
+                     (a1[s] / n[s] - op.a) ** 2 + (b1[s] / n[s] - op.b) ** 2, i, s]))[1] AS hit,
+                   list_sort(list_transform(
+                     list_filter(range({_N * _N}), lambda x: x // {_N} < x % {_N}),
+                     lambda x: [{_gap(f'x // {_N} + 1', f'x % {_N} + 1')},
+                                x // {_N} + 1, x % {_N} + 1]))[1] AS pair
+            FROM f JOIN op ON op.k = f.k + 1 CROSS JOIN lt))))))
+SELECT CAST(p - 1 AS INTEGER) AS pos, mc_id, n, {r('a1', 4)} AS s1_0, {r('b1', 4)} AS s1_1,
+       {r('a2', 4)} AS s2_0, {r('b2', 4)} AS s2_1, t1 AS cf1t, t2 AS cf2t
+FROM (SELECT unnest(range(1, {_N} + 1)) AS p, unnest(ids) AS mc_id, unnest(n) AS n,
+             unnest(a1) AS a1, unnest(b1) AS b1, unnest(a2) AS a2, unnest(b2) AS b2,
+             unnest(t1) AS t1, unnest(t2) AS t2
+      FROM f WHERE k = (SELECT max(k) FROM f))"""
