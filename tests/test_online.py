@@ -241,6 +241,20 @@ def test_old_snapshots_are_pruned_by_the_pyramid(spark, make_points):
     assert model.ledger.ticks() == [8, 9]
 
 
+def test_window_after_a_gap_in_time(spark, make_points):
+    cfg = ModelConfig(q=3, dims=2, seed=1, scaling="none", remove_expired=True, window_time=4,
+                      delta=99, l=3)
+    model = OnlineModel(spark, cfg)
+    sizes = {1: 10, 2: 11, 3: 12, 5: 13, 9: 14}
+    rng = np.random.default_rng(1)
+    held = []
+    for tick, size in sizes.items():
+        model.step(make_points(rng.normal(size=(size, 2)), 100 * tick), tick, tick)
+        held.append(model.micro_clusters().agg(F.sum("n")).first()[0])
+    # A tick is taken out when it is three ticks old.
+    assert held == [10, 21, 33, 12 + 13, 14]
+
+
 def test_projected_stream_equals_projected_points(spark, make_points):
     from tickfold.operators import scaling
 

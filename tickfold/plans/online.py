@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickfold.config import ModelConfig, run_dir
 from tickfold.operators.absorb import absorb, combine_groups, left_over, partial_sums
+from tickfold.operators.features import sum_features
 from tickfold.operators.lineage import subtract_related
 from tickfold.operators.nearest import Model
 from tickfold.operators.scaling import moments, project, standardize_with
@@ -139,7 +140,7 @@ class OnlineModel:
     def _maintain(self, points, mu, sd, meta, model, context) -> dict | None:
         cfg, tc = self.config, context["tc"]
         state = self.ledger.state(meta["tc"])
-        state, model = self._without_expired(state, model, tc)
+        state, model = self._without_expired(state, model, meta["tc"], tc)
 
         grouped = cfg.outliers == "partitioned"
         work = absorb(points, model, cfg.t_factor, mu, sd, grouped)
@@ -164,18 +165,25 @@ class OnlineModel:
             self._settle(desk, rest, rest_rows, tc)
         finally:
             work.unpersist()
+            state.unpersist()
         return self._record(context, meta, size["n"], size["out"], True)
 
-    def _without_expired(self, state, model, tc):
-        """Take the tick that leaves the sliding window out of the model."""
-        expired = tc + 1 - self.config.window_time
-        if not self.config.remove_expired or expired < 1:
+    def _without_expired(self, state, model, before, tc):
+        """Take the ticks that leave the sliding window out of the model.
+
+        Usually that is one; after a gap in time it may be several or none.
+        """
+        cfg = self.config
+        if not cfg.remove_expired:
             return state, model
-        if expired not in self.ledger.ticks("delta"):
+        edge = 1 - cfg.window_time
+        expired = [t for t in self.ledger.ticks("delta") if before + edge < t <= tc + edge]
+        if not expired:
             return state, model
-        gone = self.ledger.delta(expired)
-        state = subtract_related(state, gone, [], self.config.dims, drop_ids=False)
-        state = refresh(state)
+        deltas = self.ledger.snapshots("delta").where(F.col("tc").isin(expired))
+        gone = sum_features(deltas, ["mc_id"], cfg.dims)
+        gone = gone.withColumn("pos", F.col("mc_id")).withColumn("ids", F.array("mc_id"))
+        state = refresh(subtract_related(state, gone, [], cfg.dims, drop_ids=False)).persist()
         rows = state.select("pos", "mc_id", "centroid", "rmsd").collect()
         return state, Model.of_rows(rows)
 
