@@ -92,7 +92,8 @@ def test_chunks_of_outliers_give_the_same_result(spark, make_points):
             meta = model.step(make_points(rows, 100 * i), i)
         assert meta["n_outliers"] > 7
         state = model.micro_clusters().orderBy("pos").collect()
-        results.append([(r["mc_id"], r["n"], r["ids"], r["centroid"], r["rmsd"]) for r in state])
+        results.append([(r["mc_id"], r["n"], r["ids"], [round(v, 9) + 0.0 for v in r["centroid"]],
+                         round(r["rmsd"], 6)) for r in state])
         assert "scratch" not in model.ledger.folders(model.ledger.root) or not (
             model.ledger.folders(f"{model.ledger.root}/scratch")
         )

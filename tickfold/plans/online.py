@@ -152,17 +152,21 @@ class OnlineModel:
                 F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                 F.coalesce(F.sum(F.when(F.col("pos").isNull(), F.col("n"))), F.lit(0)).alias("out"),
                 F.count(F.when(F.col("pos").isNull(), 1)).alias("out_rows"),
+                F.count("*").alias("rows"),
             ).first()
             if size["n"] == 0:
                 return None
-            arrived = partial_sums(work, cfg.dims)
-            desk = desk_rows(state, STATE_STAGE, next_id=meta["next_id"]).unionByName(
-                desk_rows(arrived, DELTA_STAGE)
-            )
-            rest, rest_rows = left_over(work), size["out_rows"]
-            if grouped:
-                rest, rest_rows = self._condense(rest, rest_rows, model)
-            self._settle(desk, rest, rest_rows, tc)
+            desk = desk_rows(state, STATE_STAGE, next_id=meta["next_id"])
+            if size["rows"] <= cfg.chunk_rows:
+                # Few enough for one task as they are: no need to add them up first.
+                stage = f"if(pos is null, {OUTLIER_STAGE}, {DELTA_STAGE})"
+                self._write(settle(desk.union(desk_rows(work, stage)), self._rule(tc)), tc)
+            else:
+                desk = desk.union(desk_rows(partial_sums(work, cfg.dims), DELTA_STAGE))
+                rest, rest_rows = left_over(work), size["out_rows"]
+                if grouped:
+                    rest, rest_rows = self._condense(rest, rest_rows, model)
+                self._settle(desk, rest, rest_rows, tc)
         finally:
             work.unpersist()
             state.unpersist()
