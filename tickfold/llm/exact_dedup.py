@@ -41,8 +41,9 @@ def _name(items: DataFrame, key: list[str], label: str) -> DataFrame:
     others = [c for c in items.columns if c not in key]
     dealt = items.withColumns(
         {
-            "_bucket": F.pmod(F.xxhash64(*key), F.lit(BUCKETS)),
-            "_salt": F.pmod(F.xxhash64("_row"), F.lit(SALTS)),
+            # Powers of two; neither is ever null, so no filter sets the branches apart.
+            "_bucket": F.xxhash64(*key).bitwiseAND(F.lit(BUCKETS - 1)),
+            "_salt": F.xxhash64("_row").bitwiseAND(F.lit(SALTS - 1)),
         }
     )
     within = Window.partitionBy("_bucket", "_salt").orderBy(*key)
@@ -78,7 +79,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     items = cut.select(
         "_row", "doc_id", "_sha", F.size("_blocks").alias("n_blocks"),
-        F.posexplode("_blocks").alias("pos", "block"),
+        F.posexplode_outer("_blocks").alias("pos", "block"),
     )
     # What belongs to the document rides on its first block only.
     items = items.select(
