@@ -274,3 +274,34 @@ def test_macro_clusters_weigh_their_members(spark):
         got = sorted((r["center"][0], r["weight"]) for r in out.collect())
         assert got[0] == (pytest.approx(0.1, abs=0.02), 100.0)
         assert got[1] == (pytest.approx(100.0), 50.0)
+
+
+def test_blocks_meet_negative_and_equal_positions(spark, monkeypatch, make_points):
+    from tickfold.operators import nearest as near
+
+    monkeypatch.setattr(near, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(near, "PASS_BLOCKS", 2)
+    rows = [(p, 100 + i, [float(i), 0.0], 1.0) for i, p in enumerate([-10, -7, -7, -7, -7, 0, 0, 0, 0, 3, 4])]
+    mcs = spark.createDataFrame(rows, "pos int, mc_id bigint, centroid array<double>, rmsd double")
+    seen = [int(i) for block in near.model_blocks(mcs) for i in block.mc_id]
+    assert sorted(seen) == [100 + i for i in range(len(rows))]
+    assert len(near.whole_model(mcs).pos) == len(rows)
+    with pytest.raises(ValueError):
+        near.whole_model(mcs, max_bytes=20)
+    found = near.nearest(make_points([[i, 0.0] for i in range(len(rows))]), mcs).collect()
+    assert {(r["point_id"], r["nearest"]["mc_id"], r["nearest"]["d2"]) for r in found} == {
+        (i, 100 + i, 0.0) for i in range(len(rows))
+    }
+
+
+def test_weights_of_outliers(spark):
+    from tickfold.operators.absorb import absorb
+    from tickfold.operators.nearest import Model
+
+    model = Model(np.arange(1), np.arange(1), np.zeros((1, 1)), np.ones(1))
+    points = spark.createDataFrame([(1, [9.0], 7), (2, [0.5], 3)], "point_id bigint, x array<double>, weight bigint")
+    for grouped in (False, True):
+        work = absorb(points, model, 1.0, group_outliers=grouped).collect()
+        assert sum(r["n"] for r in work) == 10
+        out = next(r for r in work if r["pos"] is None)
+        assert (out["n"], out["cf1x"], out["cf2x"]) == (7, [63.0], [567.0])

@@ -158,3 +158,25 @@ def test_snapshot_text(spark):
     lines = exports.snapshot_text(df).first()["value"].split("\n")
     assert lines[1:] == ["MicroCluster IDs = [1,4]", "CF2X = [9.0]", "CF1X = [3.0]", "CF2T = 18",
                          "CF1T = 6", "N = 2"]
+
+
+def test_sources_follow_each_other(spark, tmp_path, make_points):
+    """A source that counts its batches anew goes on from the newest tick."""
+    model = OnlineModel(spark, ModelConfig(q=4, dims=1, scaling="none"), str(tmp_path / "m"))
+    assert model.step(make_points([[1], [2]]), 5, source="a")["tc"] == 1
+    assert model.step(make_points([[1], [2], [3]], 10), 6, source="a")["n_total"] == 5
+    again = OnlineModel(spark, model.config, str(tmp_path / "m"))
+    assert again.step(make_points([[1]], 20), 0, source="b")["n_total"] == 6
+    repeated = OnlineModel(spark, model.config, str(tmp_path / "m"))
+    row = repeated.step(make_points([[1], [2]], 20), 0, source="b")
+    assert (row["tc"], row["n_total"]) == (3, 7)
+
+
+def test_gap_longer_than_a_snapshot_lives(spark, tmp_path, make_points):
+    config = ModelConfig(q=4, dims=1, scaling="none", alpha=2, l=1)
+    model = OnlineModel(spark, config, str(tmp_path / "m"))
+    for tick in (1, 2, 100):
+        model.step(make_points([[1], [2]], tick), tick, tick=tick)
+    again = OnlineModel(spark, config, str(tmp_path / "m"))
+    row = again.step(make_points([[1], [2], [3]], 100), 100, tick=100)
+    assert (row["tc"], row["n_total"]) == (100, 7)

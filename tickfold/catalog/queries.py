@@ -215,7 +215,7 @@ def assign_totals(spark, d):
 @query
 def absorb_batch(spark, d):
     """The single pass of the online step: sums of inliers, count of outliers."""
-    model = next(nearest.model_blocks(T.label_clusters(spark, d)))
+    model = nearest.whole_model(T.label_clusters(spark, d))
     work = absorb(T.embedding_points(spark, d), model, t_factor=1.0)
     kept = partial_sums(work, T.EMBEDDING_DIMS).select(
         "pos", "n", r(V.total("cf1x")).alias("s1"), r(V.total("cf2x")).alias("s2")
@@ -526,7 +526,7 @@ def snapshot_text(spark, d):
 
 
 def _label_centers(spark, d):
-    return next(nearest.model_blocks(T.label_clusters(spark, d))).centroid
+    return nearest.whole_model(T.label_clusters(spark, d)).centroid
 
 
 @query
@@ -676,7 +676,7 @@ def outlier_maintenance(spark, d):
     before = feat.sum_features(deltas.where(F.col("tc") < ticks[-1]), ["mc_id"], 2)
     state = feat.with_rmsd(before.withColumn("pos", F.col("mc_id").cast("int")))
     state = state.withColumn("ids", F.array("mc_id"))
-    model = next(nearest.model_blocks(state))
+    model = nearest.whole_model(state)
     batch = T.event_points(spark, d).where(F.col("tc") == ticks[-1])
     work = absorb(batch, model, t_factor=1.0)
     desk = desk_rows(state, STATE_STAGE, next_id=100)

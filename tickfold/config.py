@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -69,7 +68,7 @@ STATE = (
 )
 META = (
     "tc bigint, batch_id bigint, n_batch bigint, n_total bigint, next_id bigint, "
-    "n_outliers bigint, initialized boolean, mu array<double>, sd array<double>"
+    "n_outliers bigint, initialized boolean, mu array<double>, sd array<double>, source string"
 )
 
 
@@ -80,7 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="tickfold-")
+    # One machine: next to the tables of the session.
+    fallback = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tickfold-shared"
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 

@@ -101,11 +101,15 @@ def absorb(
             sums.add(index[inside], x[inside], w[inside] if weighted else None)
             rest = np.nonzero(~inside)[0]
             ids = batch.column(0).to_numpy()[rest]
+            many = w[rest] if weighted else np.ones(len(rest), np.int64)
             if group_outliers:
-                for i, pid in zip(rest, ids):
-                    groups.place(1, x[i], np.square(x[i]), tag=pid)
+                for i, pid, n in zip(rest, ids, many):
+                    groups.place(int(n), n * x[i], n * np.square(x[i]), tag=pid)
+            elif weighted:
+                n = many[:, None]
+                yield _work_batch(None, ids, many.astype(np.int64), n * x[rest], n * np.square(x[rest]))
             else:
-                yield _work_batch(None, ids, np.ones(len(rest), np.int64), x[rest], None)
+                yield _work_batch(None, ids, many, x[rest], None)
         yield sums.batch(model.pos)
         if group_outliers:
             yield groups_batch(groups)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Centroids shipped to a task at once.
+from tickfold.config import MAX_MODEL_BYTES, run_dir
+
+# Centroids of a block, and blocks that one pass over the points ships.
 BLOCK_ROWS = 4096
+PASS_BLOCKS = 8
 # Distances a task holds at once: few enough to stay in its cache.
 TILE = 262_144
 
@@ -48,8 +52,9 @@ class Model:
 def model_blocks(mcs: DataFrame):
     """The micro-clusters in blocks of at most ``BLOCK_ROWS``, by ascending ``pos``.
 
-    A model within the bound is one block. A larger table is walked by ranges of
-    ``pos``, so neither the driver nor a task ever holds more than a block.
+    The table is walked in the order of its rows, each block after the last row of
+    the one before, so equal and negative ``pos`` are all met. Of rows that are equal
+    in every field one is enough.
     """
     slim = mcs.select(
         F.col("pos").cast("int").alias("pos"),
@@ -57,20 +62,38 @@ def model_blocks(mcs: DataFrame):
         "centroid",
         (F.col("rmsd") if "rmsd" in mcs.columns else F.lit(float("inf"))).alias("rmsd"),
     ).where(F.col("centroid").isNotNull())
-    head = slim.limit(BLOCK_ROWS + 1).collect()
-    if len(head) <= BLOCK_ROWS:
-        if head:
-            yield Model.of_rows(head)
-        return
-    slim = slim.persist()
-    after = -1
-    while True:
-        rows = slim.where(F.col("pos") > after).orderBy("pos").limit(BLOCK_ROWS).collect()
-        if not rows:
-            break
+    order = F.struct(*slim.columns)
+    rest = slim
+    while rows := rest.orderBy(order).limit(BLOCK_ROWS).collect():
         yield Model.of_rows(rows)
-        after = rows[-1]["pos"]
-    slim.unpersist()
+        if len(rows) < BLOCK_ROWS:
+            return
+        last = rows[-1]
+        rest = slim.where(
+            order > F.struct(
+                F.lit(last["pos"]).cast("int").alias("pos"),
+                F.lit(last["mc_id"]).cast("bigint").alias("mc_id"),
+                F.array(*(F.lit(float(v)) for v in last["centroid"])).alias("centroid"),
+                F.lit(float(last["rmsd"])).alias("rmsd"),
+            )
+        )
+
+
+def whole_model(mcs: DataFrame, max_bytes: int = MAX_MODEL_BYTES) -> Model | None:
+    """All micro-clusters as one model that travels with the task code.
+
+    Raises where they are more than a task should hold; none gives None.
+    """
+    blocks, size = [], 0
+    for block in model_blocks(mcs):
+        blocks.append(block)
+        size += block.centroid.nbytes
+        if size > max_bytes:
+            raise ValueError("more micro-clusters than a model that fits every task")
+    if not blocks:
+        return None
+    fields = ("pos", "mc_id", "centroid", "rmsd")
+    return Model(*(np.concatenate([getattr(b, f) for b in blocks]) for f in fields))
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -163,7 +186,7 @@ def nearest(points: DataFrame, mcs: DataFrame | Model) -> DataFrame:
     no pairs are made.
     """
     blocks = [mcs] if isinstance(mcs, Model) else model_blocks(mcs)
-    return _least_of(points, [_nearest_udf(b)(F.col("x")) for b in blocks])
+    return _least_of(points, (_nearest_udf(b)(F.col("x")) for b in blocks))
 
 
 def nearest_other(
@@ -176,16 +199,28 @@ def nearest_other(
     zero do not count. Rows that fail ``where`` are not looked up.
     """
     asked = F.col("centroid") if where is None else F.when(where, F.col("centroid"))
-    found = [_nearest_other_udf(b, later_only)(F.col("pos"), asked) for b in model_blocks(mcs)]
+    found = (_nearest_other_udf(b, later_only)(F.col("pos"), asked) for b in model_blocks(mcs))
     return _least_of(mcs.where(F.col("centroid").isNotNull()), found)
 
 
-def _least_of(df: DataFrame, found: list) -> DataFrame:
-    if not found:
-        return df.withColumn("nearest", F.lit(None).cast(NEAREST))
-    # Structs compare field by field: distance first, then slot.
-    best = F.least(*found) if len(found) > 1 else found[0]
-    return df.withColumn("nearest", best)
+def _least_of(df: DataFrame, found) -> DataFrame:
+    """The least of the blocks' answers, a few blocks in a pass.
+
+    What the passes before found is written to the shared folder, so that the driver and
+    the tasks hold no more than ``PASS_BLOCKS`` blocks at a time.
+    """
+    best, found = F.lit(None).cast(NEAREST), iter(found)
+    held = list(islice(found, PASS_BLOCKS))
+    while True:
+        # Structs compare field by field: distance first, then slot. Nulls are skipped.
+        now = df.withColumn("nearest", F.least(best, *held) if held else best)
+        held = list(islice(found, PASS_BLOCKS))
+        if not held:
+            return now
+        path = run_dir(df.sparkSession, "nearest")
+        now.write.parquet(path)
+        df = df.sparkSession.read.schema(now.schema).parquet(path)
+        best = F.col("nearest")
 
 
 def closest_pair(mcs: DataFrame) -> DataFrame:

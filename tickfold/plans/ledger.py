@@ -90,16 +90,29 @@ class Ledger:
     def meta(self, tc: int) -> Row:
         return self.spark.read.schema(META).json(f"{self.root}/meta/tc={tc}").first()
 
-    def last_before(self, batch_id: int) -> Row | None:
-        """Newest commit record of an earlier batch: where a replay starts from."""
+    def _newest_first(self):
         for tc in reversed(self.ticks_below(f"{self.root}/meta")):
             meta = self.meta(tc)
-            if meta is not None and meta["batch_id"] < batch_id:
+            if meta is not None:
+                yield meta
+
+    def last_before(self, batch_id: int, source: str = "") -> Row | None:
+        """Newest commit record that this batch follows.
+
+        Records of the batch itself and of later ones of its source are passed over, as
+        they are repeated. Any other source's record is followed, whatever its number.
+        """
+        for meta in self._newest_first():
+            if (meta["source"] or "") != source or meta["batch_id"] < batch_id:
                 return meta
         return None
 
-    def latest(self) -> Row | None:
-        return self.last_before(2**63 - 1)
+    def latest(self, source: str | None = None) -> Row | None:
+        """Newest commit record, of one source if given."""
+        for meta in self._newest_first():
+            if source is None or (meta["source"] or "") == source:
+                return meta
+        return None
 
     # -- writing -------------------------------------------------------------
 
@@ -126,12 +139,12 @@ class Ledger:
     def prune(self, now: int, alpha: int, l: int, window_time: int) -> list[int]:  # noqa: E741
         """Delete snapshots past their life, and deltas past the window.
 
-        Returns the ticks that lost their snapshot. The last two always stay: a
-        repeated batch starts from the tick before its own.
+        Returns the ticks that lost their snapshot. The last two always stay, however
+        far apart: a repeated batch starts from the tick before its own.
         """
         dropped = []
-        for tc in self.ticks_below(f"{self.root}/ledger/kind=state"):
-            if tc < now - 1 and now >= tc + lifetime_of_tick(tc, alpha, l):
+        for tc in self.ticks_below(f"{self.root}/ledger/kind=state")[:-2]:
+            if now >= tc + lifetime_of_tick(tc, alpha, l):
                 self.drop(f"{self.root}/ledger/kind=state/tc={tc}")
                 self.drop(self.path("meta", tc))
                 dropped.append(tc)
@@ -141,9 +154,12 @@ class Ledger:
         return dropped
 
     def expire(self, now: int, window_time: int) -> int:
-        """Delete every snapshot older than the window, with its delta."""
+        """Delete every snapshot older than the window, with its delta.
+
+        The last two stay, as in ``prune``.
+        """
         threshold = now - window_time + 1
-        expired = [t for t in self.ticks_below(f"{self.root}/ledger/kind=state")
+        expired = [t for t in self.ticks_below(f"{self.root}/ledger/kind=state")[:-2]
                    if t < threshold]
         for tc in expired:
             for path in (f"{self.root}/ledger/kind=state/tc={tc}",

@@ -75,27 +75,31 @@ class OnlineModel:
         """What the newest tick alone brought."""
         return self.ledger.delta(self.current_time)
 
-    def _before(self, batch_id: int) -> tuple[Row | None, Model | None]:
-        if self._last and self._last[0]["batch_id"] < batch_id:
+    def _before(self, batch_id: int, source: str) -> tuple[Row | None, Model | None]:
+        last = self._last and self._last[0]
+        if last and (last["source"] != source or last["batch_id"] < batch_id):
             return self._last
-        meta = self.ledger.last_before(batch_id)
+        meta = self.ledger.last_before(batch_id, source)
         if meta is None:
             return None, None
         return meta, self.ledger.model(meta["tc"])[0] if meta["initialized"] else None
 
     # -- one tick ------------------------------------------------------------
 
-    def step(self, points: DataFrame, batch_id: int, tick: int | None = None) -> Row | None:
+    def step(
+        self, points: DataFrame, batch_id: int, tick: int | None = None, source: str = ""
+    ) -> Row | None:
         """Fold one batch of points ``x`` into the model; None if it is empty.
 
         Outliers are placed in the order of ``point_id``; without that column, in
         reading order.
-        Calling again with the same ``batch_id`` repeats the tick from the state
-        before it and replaces what was written. ``tick`` moves the clock further
-        than by one, for batches cut by event time.
+        Calling again with the same ``source`` and ``batch_id`` repeats the tick from
+        the state before it and replaces what was written; a batch of another source
+        follows the newest tick. ``tick`` moves the clock further than by one, for
+        batches cut by event time.
         """
         cfg = self.config
-        meta, model = self._before(batch_id)
+        meta, model = self._before(batch_id, source)
         tc = (meta["tc"] if meta else 0) + 1
         tc = max(tc, tick) if tick is not None else tc
         if "point_id" not in points.columns:
@@ -107,6 +111,7 @@ class OnlineModel:
         context = {
             "tc": tc,
             "batch_id": batch_id,
+            "source": source,
             "mu": None if mu is None else [float(v) for v in mu],
             "sd": None if sd is None else [float(v) for v in sd],
         }
@@ -330,5 +335,5 @@ def initialize_from(model: OnlineModel, points: DataFrame) -> bool:
     True once the model is initialised; false if there were too few points, which
     then stay buffered.
     """
-    row = model.step(points, batch_id=-1)
+    row = model.step(points, batch_id=0, source="stored points")
     return bool(row and row["initialized"])

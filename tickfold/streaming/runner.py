@@ -18,6 +18,8 @@ Hook = Callable[[OnlineModel, Row], None]
 
 # Room for the ticks of one batch when they are numbered for replay.
 TICKS_PER_BATCH = 1 << 20
+# Source of the batches of a replay; their numbers are the ticks of the history.
+REPLAY = "replay"
 
 
 def start(
@@ -37,7 +39,7 @@ def start(
     """
 
     def step(part: DataFrame, number: int, tick: int | None = None) -> None:
-        row = model.step(part, number, tick)
+        row = model.step(part, number, tick, source=checkpoint)
         if row is not None and on_tick is not None:
             on_tick(model, row)
 
@@ -65,14 +67,16 @@ def replay(
     """Fold a stored history into the model, tick by tick of its event time.
 
     Each tick reads its own range of the time column, so a table laid out by time
-    is read once. Ticks up to the current time of the model are skipped, which
-    makes an interrupted replay continue.
+    is read once. Ticks that replays of this model have committed are skipped, which
+    makes an interrupted replay continue; what other sources have brought is not. On a
+    model that is ahead of the history, its first ticks come after the current time.
     """
-    done = model.current_time
-    ticks = [t for t in catalog_of(history.select(clock.tick().alias("tc"))) if t > done]
+    before = model.ledger.latest(REPLAY)
+    ticks = catalog_of(history.select(clock.tick().alias("tc")))
+    ticks = [t for t in ticks if before is None or t > before["batch_id"]]
     rows = []
     for tick in ticks:
-        row = model.step(to_points(history.where(clock.within(tick))), tick, tick)
+        row = model.step(to_points(history.where(clock.within(tick))), tick, tick, REPLAY)
         if row is not None:
             rows.append(row)
             if on_tick is not None:
