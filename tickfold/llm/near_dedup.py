@@ -6,7 +6,8 @@ of a document's minimum values and sends the document on to a child for each. Si
 documents choose the same children often, others hardly ever. A child of few documents is
 compared exhaustively, a larger one branches again down to ``DEPTH``. Independent trees are
 repeated until a pair at the threshold is met with the wanted probability. What is met is
-confirmed on full sets.
+estimated from the minimum values and from odd sketches (the parity of a set's hashes in
+each of some bits), and what may be similar enough is confirmed on full sets.
 
 Only links that may join two groups matter for the groups, so a node offers a forest of
 the likely links first; after those are confirmed, all likely links between different
@@ -31,6 +32,7 @@ WORDS = 5
 COORDINATES = 128
 NODE_DOCS = 256  # Larger nodes branch, and are compared in blocks at the last depth.
 DEPTH = 3
+ODD_BITS = 1024
 RECALL = 0.99
 SIGNED = np.uint64(1 << 63)
 
@@ -107,27 +109,34 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parities; those of two sets differ where their symmetric difference falls."""
+    bits = np.bincount(((shingles >> np.uint64(20)) % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        sizes, low, high, minima = [], [], [], []
+        sizes, low, high, minima, odd = [], [], [], [], []
         for text in texts_of(batch, "text"):
             s = shingle_hashes(text)
             sizes.append(len(s))
             low.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
             high.append(int(_mix(s ^ SIGNED).sum(dtype=np.uint64)) if len(s) else 0)
             minima.append(_minima(s).tobytes() if len(s) else None)
+            odd.append(_odd_sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("_row"), batch.column("doc_id"),
                 pa.array(sizes, pa.int64()),
                 _longs(np.array(low, dtype=np.uint64)), _longs(np.array(high, dtype=np.uint64)),
-                pa.array(minima, pa.binary()),
+                pa.array(minima, pa.binary()), pa.array(odd, pa.binary()),
             ],
-            names=["_row", "doc_id", "n", "low", "high", "minima"],
+            names=["_row", "doc_id", "n", "low", "high", "minima", "odd"],
         )
 
 
@@ -210,6 +219,18 @@ def _likely(similarity: float) -> int:
     return math.floor(COORDINATES * (similarity - 3.3 * spread))
 
 
+def _most_odd(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Differing parities above which two sets at the threshold are very unlikely.
+
+    With all shingles different in ``d`` places, their mean is that of ``d`` balls in
+    ODD_BITS bins; large differences fill the bins and rule out nothing.
+    """
+    d = sizes * ((1 - similarity) / (1 + similarity))
+    gone = np.exp(-2 * d / ODD_BITS)
+    spread = np.sqrt(np.maximum(ODD_BITS / 4 * (1 - gone**2) - d * gone**2, 0))
+    return ODD_BITS / 2 * (1 - gone) + 3.5 * spread + 2
+
+
 def _links_of_node(
     sketch: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray,
     similarity: float, forest: bool,
@@ -220,6 +241,7 @@ def _links_of_node(
     side is also a node of its own.
     """
     m, least, links = len(n), _likely(similarity), []
+    values, odd = sketch[:, :COORDINATES], np.ascontiguousarray(sketch[:, COORDINATES:])
     if (group == group[0]).all():
         return links
 
@@ -229,7 +251,9 @@ def _links_of_node(
             & (group[where] != group[i])
             & ((side[where] != side[i]) | (side[where] == 0))
         ]
-        return rows[(sketch[rows] == sketch[i]).sum(axis=1) >= least]
+        rows = rows[(values[rows] == values[i]).sum(axis=1) >= least]
+        differ = np.bitwise_count(odd[rows] ^ odd[i]).sum(axis=1, dtype=np.int64)
+        return rows[differ <= _most_odd(n[rows] + n[i], similarity)]
 
     if not forest:
         for i in range(m - 1):
@@ -259,7 +283,7 @@ def _links(similarity: float, forest: bool):
         cls, n, group = (t.column(c).to_numpy() for c in ("cls", "n", "grp"))
         side = t.column("side").to_numpy()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(
-            -1, COORDINATES
+            -1, COORDINATES + ODD_BITS // 8
         )
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(sub) != 0)) + 1
         out = []
@@ -435,14 +459,14 @@ def near_dedup(
     )
     signed = stored(
         texts.mapInArrow(
-            _signatures, "_row bigint, doc_id bigint, n bigint, low bigint, high bigint, minima binary"
+            _signatures, "_row bigint, doc_id bigint, n bigint, low bigint, high bigint, minima binary, odd binary"
         ),
         "signatures",
     )
     # Documents of equal sets are one class; the join works on classes.
     classes = stored(
         signed.where("n > 0").groupBy("n", "low", "high").agg(
-            F.min("_row").alias("cls"), F.first("minima").alias("minima")
+            F.min("_row").alias("cls"), F.first("minima").alias("minima"), F.first("odd").alias("odd")
         ),
         "classes",
     )
@@ -505,10 +529,13 @@ def near_dedup(
 
 
 def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the low byte of every coordinate, which is enough to estimate a pair."""
+    """Adds what pairs are estimated from: low bytes of the coordinates, and the odd sketch."""
     for batch in batches:
-        minima = batch.column("minima").to_pylist()
-        sketch = [np.frombuffer(m, dtype=np.uint32).astype(np.uint8).tobytes() for m in minima]
+        minima, odd = batch.column("minima").to_pylist(), batch.column("odd").to_pylist()
+        sketch = [
+            np.frombuffer(m, dtype=np.uint32).astype(np.uint8).tobytes() + o
+            for m, o in zip(minima, odd, strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("cls"), batch.column("n"), batch.column("minima"), pa.array(sketch, pa.binary())],
             names=["cls", "n", "minima", "sketch"],
