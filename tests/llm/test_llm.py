@@ -310,6 +310,17 @@ def test_quotation_counts_less(spark, docs, labels):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows if r.doc_id is not None)
 
 
+def test_plain_terms_explain_a_label():
+    """A misspelling beside a plain term is no evidence; a use that says no more than chance has no weight."""
+    plain, near = ("moron", False, False), ("clown", True, False)
+    assert toxicity._strongest({plain, near}) == [plain] and toxicity._strongest({near}) == [near]
+    assert toxicity._strongest(set()) == []
+    lexicon = toxicity.Lexicon({"moron": 0.95, "clown": 0.95}, {}, share=0.1, evidence={near: (1, 40), plain: (20, 20)})
+    assert lexicon.weight(*near) == 0 < 0.9 < lexicon.weight(*plain) <= 1
+    scorer = toxicity.Scorer(lexicon)
+    assert scorer.score("a clowm here") == scorer.score("") < 0.3 <= scorer.score("a moron here")
+
+
 def test_quality_of_odd_rows(docs, labels):
     rows = quality.quality(docs, quality.train(docs, labels)).collect()
     assert len(rows) == docs.count() and all(0 < r.score < 1 for r in rows)
@@ -327,6 +338,8 @@ def test_held_out_accuracy(spark):
     assert good >= 0.97 * truth.count()
     held = queries.op7_toxicity(spark, d).where("held_out").join(truth, "doc_id")
     assert held.where("predicted = toxic").count() >= 0.95 * held.count()
+    clean = held.where("toxic = 0")
+    assert clean.where("predicted = 1").count() <= 0.03 * clean.count()
 
 
 def test_vectors(spark, tmp_path):

@@ -49,6 +49,7 @@ class Lexicon:
     words: dict[str, float]
     stems: dict[str, float]
     base: float = 0.01
+    share: float = 0.0  # of toxic documents among all
     evidence: dict[tuple[str, bool, bool], tuple[int, int]] = field(default_factory=dict)
 
     def precision(self, term: str, fuzzy: bool, quoted: bool) -> float:
@@ -58,6 +59,10 @@ class Lexicon:
         toxic, docs = self.evidence.get((term, fuzzy, quoted), (0, 0))
         return (toxic + 2 * prior) / (docs + 2)
 
+    def weight(self, term: str, fuzzy: bool, quoted: bool) -> float:
+        """How far the precision exceeds what any document has, from 0 to 1."""
+        return max(0.0, self.precision(term, fuzzy, quoted) - self.share) / (1 - self.share)
+
 
 class Automaton:
     """Words within one edit of a term, or with a stem; built as words are read.
@@ -176,7 +181,7 @@ class Scorer:
         """Probability that some use of a term is abuse; the base rate without one."""
         clean = 1 - self.lexicon.base
         for term, fuzzy, quoted in self.hits(text):
-            clean *= 1 - min(0.999, self.lexicon.precision(term, fuzzy, quoted))
+            clean *= 1 - min(0.999, self.lexicon.weight(term, fuzzy, quoted))
         return min(1.0, max(0.0, 1 - clean))
 
 
@@ -215,6 +220,12 @@ def _contexts(words: frozenset[str], stems: frozenset[str]):
     return run
 
 
+def _strongest(hits: set[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
+    """Uses of the plainest kind in a document; they explain its label, others do not."""
+    kind = min(((fuzzy, quoted) for _, fuzzy, quoted in hits), default=None)
+    return [hit for hit in hits if hit[1:] == kind]
+
+
 def _evidence(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
@@ -222,7 +233,7 @@ def _evidence(lexicon: Lexicon):
             rows = [
                 (*hit, toxic)
                 for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch, "text"), strict=True)
-                for hit in scorer.hits(text)
+                for hit in _strongest(scorer.hits(text))
             ]
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("term", "fuzzy", "quoted", "toxic"), r, strict=True)) for r in rows],
@@ -280,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = {t: p for t, p in terms.items() if t in varied and not any(t[:n] in stems for n in STEM)}
     counted = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     share = (counted.t or 0) / max(1, counted.n)
-    lexicon = Lexicon(terms, stems, base=min(0.05, share / 10 + 1e-3))
+    lexicon = Lexicon(terms, stems, base=min(0.05, share / 10 + 1e-3), share=min(0.5, share))
     # Few rows: a count for each term and kind of use.
     uses = (
         train.mapInArrow(_evidence(lexicon), "term string, fuzzy boolean, quoted boolean, toxic int")
