@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tickfold.config import ModelConfig, run_dir
 from tickfold.plans.initial import random_centers
-from tickfold.plans.online import OnlineModel, initialize_from
+from tickfold.plans.online import OnlineModel, initialize_from, initialize_from_file
 
 
 def drifting(ticks, size, dims=2, seed=0, jump=0.6):
@@ -207,15 +207,17 @@ def test_kmeans_start_with_fewer_distinct_points_than_slots(spark, make_points):
     assert sorted(tuple(r["centroid"]) for r in state if r["n"]) == [(1.0, 1.0), (9.0, 9.0)]
 
 
-def test_streaming_kmeans_start_counts_all_batches(spark, make_points):
+def test_streaming_kmeans_start_needs_one_large_batch(spark, make_points):
     cfg = ModelConfig(q=3, dims=2, min_init_points=70, init="streaming_kmeans", seed=1)
     model = OnlineModel(spark, cfg)
-    batches = drifting(2, 40, seed=2)
+    batches = drifting(2, 40, seed=2) + drifting(1, 75, seed=3)
     assert not model.step(make_points(batches[0]), 0)["initialized"]
-    assert model.step(make_points(batches[1], 100), 1)["initialized"]
+    # Two small batches have enough points together, but neither has by itself.
+    assert not model.step(make_points(batches[1], 100), 1)["initialized"]
+    assert model.step(make_points(batches[2], 200), 2)["initialized"]
     # Only the batch that completes the start is assigned.
-    assert model.micro_clusters().agg(F.sum("n")).first()[0] == 40
-    assert model.total_points == 80
+    assert model.micro_clusters().agg(F.sum("n")).first()[0] == 75
+    assert model.total_points == 155
 
 
 def test_start_from_stored_points(spark, make_points):
@@ -227,6 +229,15 @@ def test_start_from_stored_points(spark, make_points):
     assert model.step(make_points(drifting(1, 20, seed=1)[0], 100), 0)["tc"] == 2
 
 
+def test_start_from_a_file(spark, tmp_path):
+    model = OnlineModel(spark, ModelConfig(q=3, dims=2, min_init_points=10, seed=1))
+    assert not initialize_from_file(model, str(tmp_path / "absent")) and model.meta is None
+    lines = [f"{a},{b}" for a, b in drifting(1, 30)[0]]
+    (tmp_path / "points.txt").write_text("\n".join(lines))
+    assert initialize_from_file(model, str(tmp_path / "points.txt"))
+    assert model.total_points == 30
+
+
 def test_old_snapshots_are_pruned_by_the_pyramid(spark, make_points):
     cfg = ModelConfig(q=2, dims=2, alpha=2, l=0, window_time=3, scaling="none", seed=1)
     model = OnlineModel(spark, cfg)

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from tickfold.config import ModelConfig  # noqa: E402
-from tickfold.plans.online import OnlineModel, initialize_from  # noqa: E402
+from tickfold.plans.online import OnlineModel, initialize_from, initialize_from_file  # noqa: E402
 from tickfold.sources.clock import EventClock  # noqa: E402
 from tickfold.streaming.kmeans import StreamingKMeans  # noqa: E402
 from tickfold.streaming.runner import centers_hook, replay, start  # noqa: E402
@@ -26,6 +26,7 @@ __all__ = [
     "StreamingKMeans",
     "centers_hook",
     "initialize_from",
+    "initialize_from_file",
     "replay",
     "start",
 ]

@@ -19,7 +19,7 @@ from tickfold.operators.absorb import absorb, left_over, partial_sums
 from tickfold.operators.lineage import lineage, subtract_related
 from tickfold.plans import history, macro
 from tickfold.plans.initial import WarmCenters, random_centers
-from tickfold.plans.online import OnlineModel, initialize_from
+from tickfold.plans.online import OnlineModel, initialize_from_file
 from tickfold.plans.settle import (
     DELTA_STAGE,
     OUTLIER_STAGE,
@@ -654,7 +654,7 @@ def init_from_file(spark, d):
     path = run_dir(spark, "init-file")
     exports.replay_points(T.event_points(spark, d), "text", {"path": path})
     model = OnlineModel(spark, ModelConfig(q=20, dims=2, seed=3, min_init_points=0))
-    initialize_from(model, src.read_text_points(spark, path))
+    initialize_from_file(model, path)
     return flat(model.micro_clusters(), "pos", "mc_id", digits=4)
 
 

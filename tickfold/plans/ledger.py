@@ -34,6 +34,10 @@ class Ledger:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
+    def exists(self, path: str) -> bool:
+        fs, target = self._hadoop(path)
+        return fs.exists(target)
+
     def folders(self, path: str) -> list[str]:
         fs, target = self._hadoop(path)
         if not fs.exists(target):

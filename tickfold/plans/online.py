@@ -24,7 +24,7 @@ from tickfold.plans.settle import (
     refresh,
     settle,
 )
-from tickfold.sources.points import valid_points
+from tickfold.sources.points import read_text_points, valid_points
 
 # One task merges the outlier groups of this many tasks.
 FAN_IN = 16
@@ -282,7 +282,8 @@ class OnlineModel:
             centers = initial.kmeans_centers(points, cfg)
         else:
             centers = self._warm_centers(points, meta, tc)
-            if total < cfg.min_init_points:
+            # Only this batch is assigned, so it must be large enough by itself.
+            if n_batch < cfg.min_init_points:
                 return self._record(context, meta, n_batch, 0, False)
         self._found_model(points, centers, tc)
         return self._record(context, meta, n_batch, 0, True)
@@ -337,3 +338,10 @@ def initialize_from(model: OnlineModel, points: DataFrame) -> bool:
     """
     row = model.step(points, batch_id=0, source="stored points")
     return bool(row and row["initialized"])
+
+
+def initialize_from_file(model: OnlineModel, path: str, sep: str = ",") -> bool:
+    """As ``initialize_from``, with points of a text file or folder; false if it is absent."""
+    if not model.ledger.exists(path):
+        return False
+    return initialize_from(model, read_text_points(model.spark, path, sep))
