@@ -321,6 +321,19 @@ def test_plain_terms_explain_a_label():
     assert scorer.score("a clowm here") == scorer.score("") < 0.3 <= scorer.score("a moron here")
 
 
+def test_stems_support_each_other():
+    near = lambda words: list(toxicity.near_uses([(i, w, "") for i, w in words]))
+    assert near([(0, "abca"), (toxicity.NEAR, "abcb"), (200, "abca")]) == [(0, toxicity.NEAR, "")]
+    assert near([(0, "abca"), (1, "abca")]) == near([]) == []
+    stems = {"bomen": 0.9, "xyzz": 0.9}
+    lone, backed = ("bomen", True, False), ("bomen", False, False)
+    scorer = toxicity.Scorer(toxicity.Lexicon({}, stems, share=0.1, evidence={lone: (3, 60), backed: (9, 9)}))
+    assert scorer.hits("one bomenta here") == scorer.hits("bomenta bomenta") == {lone}
+    assert scorer.hits("bomenta and bomenti") == {backed}
+    assert ("bomen", False, False) in scorer.hits("bomenta and xyzzu")
+    assert scorer.score("one bomenta here") < 0.3 <= scorer.score("bomenta and bomenti")
+
+
 def test_quality_of_odd_rows(docs, labels):
     rows = quality.quality(docs, quality.train(docs, labels)).collect()
     assert len(rows) == docs.count() and all(0 < r.score < 1 for r in rows)

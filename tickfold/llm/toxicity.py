@@ -1,10 +1,11 @@
 """Toxicity from a learned lexicon, found through Levenshtein automata.
 
-The lexicon is learned from labelled documents: words, and stems of words, that occur in
-toxic ones only. Its trie is intersected with the automaton of all words within one edit,
-state by state as texts ask for it, so a misspelled term costs one walk over its letters.
-What a term says depends on the words around it: next to quotation it counts with the
-precision that quoted terms had in training.
+The lexicon is learned from labelled documents: words that occur in toxic ones only, and
+stems that only toxic ones use in different words close to each other. Its trie is
+intersected with the automaton of all words within one edit, state by state as texts ask
+for it, so a misspelled term costs one walk over its letters. What a term says depends on
+the words around it: next to quotation, and for a stem used alone, it counts with the
+precision that such uses had in training.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,8 +26,9 @@ SAMPLE = 20_000  # labelled documents learned from, at most
 TERMS = 5_000  # entries of the lexicon, at most
 SUPPORT = 5  # different contexts in toxic documents a term needs; copies share theirs
 PRECISION = 0.9
-STEM = (4, 5, 6)
-STEM_WORDS = 5  # different words a stem needs
+STEM = (4, 5, 6, 7, 8)
+STEM_SUPPORT = 3  # toxic documents a stem needs
+NEAR = 40  # words between two uses of a stem that support each other
 FUZZY_LENGTH = 5  # shorter terms must be spelled right
 WINDOW = 6  # words on both sides
 THRESHOLD = 0.3
@@ -44,7 +46,7 @@ _STRIP = re.compile(r"^\W+|\W+$")
 
 @dataclass
 class Lexicon:
-    """Terms with their precision by (misspelled, quoted)."""
+    """Terms with their precision by (weak, quoted); misspelled words and lone stems are weak."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -52,16 +54,16 @@ class Lexicon:
     share: float = 0.0  # of toxic documents among all
     evidence: dict[tuple[str, bool, bool], tuple[int, int]] = field(default_factory=dict)
 
-    def precision(self, term: str, fuzzy: bool, quoted: bool) -> float:
+    def precision(self, term: str, weak: bool, quoted: bool) -> float:
         """Share of toxic documents among those with the term used so, smoothed."""
         prior = self.words.get(term, self.stems.get(term, self.base))
-        prior *= (0.7 if fuzzy else 1.0) * (0.25 if quoted else 1.0)
-        toxic, docs = self.evidence.get((term, fuzzy, quoted), (0, 0))
+        prior *= (0.7 if weak else 1.0) * (0.25 if quoted else 1.0)
+        toxic, docs = self.evidence.get((term, weak, quoted), (0, 0))
         return (toxic + 2 * prior) / (docs + 2)
 
-    def weight(self, term: str, fuzzy: bool, quoted: bool) -> float:
+    def weight(self, term: str, weak: bool, quoted: bool) -> float:
         """How far the precision exceeds what any document has, from 0 to 1."""
-        return max(0.0, self.precision(term, fuzzy, quoted) - self.share) / (1 - self.share)
+        return max(0.0, self.precision(term, weak, quoted) - self.share) / (1 - self.share)
 
 
 class Automaton:
@@ -144,6 +146,16 @@ class Automaton:
         return None
 
 
+def near_uses(uses: Iterable[tuple[int, str, str]]) -> Iterator[tuple[int, int, str]]:
+    """``place, place, stem`` of uses ``place, word, stem`` in different words close by."""
+    last: dict[str, tuple[int, str]] = {}
+    for place, word, stem in uses:
+        before = last.get(stem)
+        if before and place - before[0] <= NEAR and word != before[1]:
+            yield before[0], place, stem
+        last[stem] = (place, word)
+
+
 class Scorer:
     """Finds terms in texts and weighs them by their windows."""
 
@@ -153,7 +165,7 @@ class Scorer:
         self._bad: dict[str, tuple[str, bool]] = {}
 
     def hits(self, text: str) -> set[tuple[str, bool, bool]]:
-        """``term, misspelled, quoted`` for every use of a term."""
+        """``term, weak, quoted`` for every use of a term."""
         words = text.lower().split()
         distinct = set(words)
         for word in distinct - self._clean:
@@ -166,22 +178,25 @@ class Scorer:
         used = distinct & self._bad.keys()
         if not used:
             return set()
+        uses = [(i, *self._bad[word]) for i, word in enumerate(words) if word in used]
+        # Other stems of the lexicon support a stem as well as its own do.
+        stems = ((i, _STRIP.sub("", words[i]), "") for i, term, _ in uses if term in self.lexicon.stems)
+        backed = {i for a, b, _ in near_uses(stems) for i in (a, b)}
         out = set()
-        for i, word in enumerate(words):
-            if word in used:
-                term, fuzzy = self._bad[word]
-                around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-                opened = any(w[0] in _MARKS for w in (*words[max(0, i - WINDOW) : i], word))
-                closed = any(w.rstrip(".,;:!?")[-1:] in _MARKS and w.rstrip(".,;:!?") for w in (word, *words[i + 1 : i + 1 + WINDOW]))
-                told = any(_STRIP.sub("", w) in QUOTING for w in around)
-                out.add((term, fuzzy, (opened and closed) or told))
+        for i, term, fuzzy in uses:
+            word, weak = words[i], fuzzy or (term in self.lexicon.stems and i not in backed)
+            around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
+            opened = any(w[0] in _MARKS for w in (*words[max(0, i - WINDOW) : i], word))
+            closed = any(w.rstrip(".,;:!?")[-1:] in _MARKS and w.rstrip(".,;:!?") for w in (word, *words[i + 1 : i + 1 + WINDOW]))
+            told = any(_STRIP.sub("", w) in QUOTING for w in around)
+            out.add((term, weak, (opened and closed) or told))
         return out
 
     def score(self, text: str) -> float:
         """Probability that some use of a term is abuse; the base rate without one."""
         clean = 1 - self.lexicon.base
-        for term, fuzzy, quoted in self.hits(text):
-            clean *= 1 - min(0.999, self.lexicon.weight(term, fuzzy, quoted))
+        for term, weak, quoted in self.hits(text):
+            clean *= 1 - min(0.999, self.lexicon.weight(term, weak, quoted))
         return min(1.0, max(0.0, 1 - clean))
 
 
@@ -198,6 +213,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stems that a document uses in different words close to each other."""
+    for batch in small_batches(batches):
+        stems = []
+        for text in texts_of(batch, "text"):
+            said = [(i, _STRIP.sub("", w)) for i, w in enumerate(text.lower().split())]
+            uses = ((i, w, w[:n]) for i, w in said for n in STEM if len(w) >= n)
+            stems.append(sorted({stem for _, _, stem in near_uses(uses)}))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("toxic"), pa.array(stems, pa.list_(pa.string()))], names=["toxic", "stems"]
+        )
+
+
 def _contexts(words: frozenset[str], stems: frozenset[str]):
     """``term, context`` for the uses of candidates; a context is the words beside it."""
 
@@ -222,7 +250,7 @@ def _contexts(words: frozenset[str], stems: frozenset[str]):
 
 def _strongest(hits: set[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
     """Uses of the plainest kind in a document; they explain its label, others do not."""
-    kind = min(((fuzzy, quoted) for _, fuzzy, quoted in hits), default=None)
+    kind = min(((weak, quoted) for _, weak, quoted in hits), default=None)
     return [hit for hit in hits if hit[1:] == kind]
 
 
@@ -236,8 +264,8 @@ def _evidence(lexicon: Lexicon):
                 for hit in _strongest(scorer.hits(text))
             ]
             yield pa.RecordBatch.from_pylist(
-                [dict(zip(("term", "fuzzy", "quoted", "toxic"), r, strict=True)) for r in rows],
-                pa.schema([("term", pa.string()), ("fuzzy", pa.bool_()), ("quoted", pa.bool_()), ("toxic", pa.int32())]),
+                [dict(zip(("term", "weak", "quoted", "toxic"), r, strict=True)) for r in rows],
+                pa.schema([("term", pa.string()), ("weak", pa.bool_()), ("quoted", pa.bool_()), ("toxic", pa.int32())]),
             )
 
     return run
@@ -263,14 +291,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     good = (F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * F.col("n"))
     best = lambda df: df.orderBy(F.desc("t"), "term").limit(TERMS).collect()
+    found = (
+        train.mapInArrow(_stems, "toxic int, stems array<string>")
+        .select("toxic", F.explode("stems").alias("term"))
+        .groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+        .where((F.col("t") >= STEM_SUPPORT) & (F.col("t") >= PRECISION * F.col("n")))
+    )
     stems: dict[str, float] = {}
-    for size in STEM:
-        found = (
-            words.where(F.length("word") >= size).groupBy(F.substring("word", 1, size).alias("term"))
-            .agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words"))
-            .where(good & (F.col("words") >= STEM_WORDS) & (F.col("t") == F.col("n")))
-        )
-        stems |= {r.term: (r.t + 1) / (r.n + 2) for r in best(found)}
+    for r in sorted(best(found), key=lambda r: (-r.t, -len(r.term), r.term)):
+        # Of stems that begin with each other the best known stays, the longest of equals.
+        if not any(r.term.startswith(s) or s.startswith(r.term) for s in stems):
+            stems[r.term] = (r.t + 1) / (r.n + 2)
     terms = {
         r.term: (r.t + 1) / (r.n + 2)
         for r in best(words.where(good & (F.length("word") >= 3)).withColumnRenamed("word", "term"))
@@ -283,21 +314,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("term").agg(F.count_distinct("context").alias("contexts"))
         .where(F.col("contexts") >= SUPPORT).collect()
     }
-    shortest: dict[str, float] = {}
-    for stem in sorted(stems, key=len):
-        if stem in varied and not any(stem[:n] in shortest for n in STEM):
-            shortest[stem] = stems[stem]
-    stems = shortest
+    stems = {stem: p for stem, p in stems.items() if stem in varied}
     terms = {t: p for t, p in terms.items() if t in varied and not any(t[:n] in stems for n in STEM)}
     counted = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     share = (counted.t or 0) / max(1, counted.n)
     lexicon = Lexicon(terms, stems, base=min(0.05, share / 10 + 1e-3), share=min(0.5, share))
     # Few rows: a count for each term and kind of use.
     uses = (
-        train.mapInArrow(_evidence(lexicon), "term string, fuzzy boolean, quoted boolean, toxic int")
-        .groupBy("term", "fuzzy", "quoted").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+        train.mapInArrow(_evidence(lexicon), "term string, weak boolean, quoted boolean, toxic int")
+        .groupBy("term", "weak", "quoted").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
     )
-    lexicon.evidence = {(r.term, r.fuzzy, r.quoted): (int(r.t), int(r.n)) for r in uses}
+    lexicon.evidence = {(r.term, r.weak, r.quoted): (int(r.t), int(r.n)) for r in uses}
     return lexicon
 
 
