@@ -93,6 +93,7 @@ def test_near_dedup_odd_rows(docs):
 def test_near_dedup_against_all_pairs(spark, tmp_path, monkeypatch, node):
     """Chains and groups of near copies, in small nodes and in blocks of large ones."""
     monkeypatch.setattr(near_dedup, "NODE_DOCS", node)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", node // 2)
     rng = random.Random(3)
     base = [[f"t{g}x{i}" for i in range(80)] for g in range(3)]
     rows = []
@@ -101,6 +102,7 @@ def test_near_dedup_against_all_pairs(spark, tmp_path, monkeypatch, node):
         for _ in range(rng.choice([0, 1, 2, 3])):
             words[rng.randrange(80)] = f"n{i}"
         rows.append((i, " ".join(words)))
+    rows += [(60 + i, " ".join(base[i % 3][: rng.randint(50, 80)])) for i in range(40)]  # in several bands of sizes
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.read.parquet(path)).collect()}

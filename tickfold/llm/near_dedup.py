@@ -31,6 +31,7 @@ from tickfold.llm.components import components
 WORDS = 5
 COORDINATES = 128
 NODE_DOCS = 256  # Larger nodes branch, and are compared in blocks at the last depth.
+BLOCK_DOCS = 512  # Documents of a block; a task holds two blocks of sketches at a time.
 DEPTH = 3
 ODD_BITS = 1024
 RECALL = 0.99
@@ -334,46 +335,54 @@ def _node_rows(nodes: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFram
     )
 
 
-def _block_pairs(large: DataFrame, groups: DataFrame) -> DataFrame:
+def _block_pairs(large: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """Large nodes as pairs of blocks: ``key, sub, cls, side``.
 
+    A block holds documents of one band of sizes. Similar documents are in the same band
+    or in neighbouring ones, so blocks of other bands are not paired.
+
     A group with many members in a node has blocks of its own, which need no comparison
     with each other; all other documents share blocks. So a node whose documents are
     one group has no pair at all.
     """
-    rows = large.select("key", "cls", "docs").join(groups, "cls", "left").withColumn(
+    # A band is a little wider than the threshold allows, so rounding loses no pair.
+    band = F.floor(F.log("n") / -math.log(similarity * 0.999)).cast("int").alias("band")
+    rows = large.select("key", "cls").join(reps.select("cls", band), "cls").join(groups, "cls", "left").withColumn(
         "grp", F.coalesce("grp", "cls")
     )
-    shares = rows.groupBy("key", "grp").agg(F.count("*").alias("members"))
+    shares = rows.groupBy("key", "band", "grp").agg(F.count("*").alias("members"))
     shares = stored(
         shares.withColumn("own", F.when(F.col("members") > NODE_DOCS // 4, F.col("grp"))).select(
-            "key", "grp", "own", "members"
+            "key", "band", "grp", "own", "members"
         ),
         "shares",
     )
-    mixed = shares.groupBy("key", "own").agg(F.sum("members").alias("members"))
+    mixed = shares.groupBy("key", "band", "own").agg(F.sum("members").alias("members"))
     blocks = stored(
         mixed.select(
-            "key", "own",
-            F.ceil(F.col("members") / (NODE_DOCS // 2)).cast("int").alias("parts"),
+            "key", "band", "own",
+            F.ceil(F.col("members") / BLOCK_DOCS).cast("int").alias("parts"),
         ),
         "blocks",
     )
     placed = stored(
-        rows.join(shares.select("key", "grp", "own"), ["key", "grp"])
-        .join(blocks.withColumnRenamed("own", "o"), (F.col("own").eqNullSafe(F.col("o"))) & (rows["key"] == blocks["key"]))
+        rows.join(shares.select("key", "band", "grp", "own"), ["key", "band", "grp"])
+        .join(
+            blocks.select("key", "band", F.col("own").alias("o"), "parts"),
+            (F.col("own").eqNullSafe(F.col("o"))) & (rows["key"] == blocks["key"]) & (rows["band"] == blocks["band"]),
+        )
         .select(
             rows["key"], "cls",
-            F.struct("own", F.pmod(F.xxhash64("cls", rows["key"]), F.col("parts")).alias("part")).alias("block"),
+            F.struct(rows["band"], "own", F.pmod(F.xxhash64("cls", rows["key"]), F.col("parts")).alias("part")).alias("block"),
         ),
         "placed",
     )
     each = stored(placed.select("key", "block").distinct(), "each")
     left, right = (each.select("key", F.col("block").alias(c)) for c in ("i", "j"))
     pairs = left.join(right, "key").where(
-        "i <= j and not (i.own is not null and j.own is not null and i.own = j.own)"
+        "i <= j and j.band - i.band <= 1 and not (i.own is not null and j.own is not null and i.own = j.own)"
     )
-    pairs = stored(pairs.withColumn("sub", F.xxhash64("i.own", "i.part", "j.own", "j.part")), "pairs")
+    pairs = stored(pairs.withColumn("sub", F.xxhash64("i.band", "i.own", "i.part", "j.band", "j.own", "j.part")), "pairs")
     one = placed.join(pairs.select("key", F.col("i").alias("block"), "sub", (F.col("i") == F.col("j")).alias("alone")), ["key", "block"])
     two = placed.join(pairs.where("i <> j").select("key", F.col("j").alias("block"), "sub"), ["key", "block"])
     return one.select("key", "sub", "cls", F.when(F.col("alone"), 0).otherwise(1).alias("side")).union(
@@ -489,7 +498,7 @@ def near_dedup(
     tried = verify(links)
     if not tried.isEmpty() or large is not None:
         groups = stored(components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("cls", "grp"), "groups")
-        rest = nodes if large is None else nodes.union(_block_pairs(large, groups))
+        rest = nodes if large is None else nodes.union(_block_pairs(large, reps, groups, similarity))
         rest = _node_rows(rest, reps, groups)
         # Nodes that are one group by now need no further look.
         open_nodes = stored(
