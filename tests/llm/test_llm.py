@@ -336,6 +336,19 @@ def test_stems_support_each_other():
     assert scorer.score("one bomenta here") < 0.3 <= scorer.score("bomenta and bomenti")
 
 
+def test_copied_toxic_text_crowds_out_no_term(spark):
+    """More exclusive words in copies of one text than a fixed lexicon has room for."""
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    copied = " ".join(f"{i:04d}"[::-1] + "qz" for i in range(5200))
+    rows = [(i, copied, 1) for i in ids[:9]]
+    rows += [(i, f"before{i} moron after{i} gribbla and gribblo x{i} gribbla y{i} gribblo", 1) for i in ids[9:15]]
+    rows += [(i, f"before{i} nothing after{i}", 0) for i in ids[15:40]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert "moron" in lexicon.words and "gribbl" in lexicon.stems
+    assert not any(w[0].isdigit() for w in [*lexicon.words, *lexicon.stems])
+
+
 def test_quality_of_odd_rows(docs, labels):
     rows = quality.quality(docs, quality.train(docs, labels)).collect()
     assert len(rows) == docs.count() and all(0 < r.score < 1 for r in rows)

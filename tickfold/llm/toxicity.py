@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from tickfold.llm.common import small_batches, stored, texts_of
 
 SAMPLE = 20_000  # labelled documents learned from, at most
-TERMS = 5_000  # entries of the lexicon, at most
 SUPPORT = 5  # different contexts in toxic documents a term needs; copies share theirs
 PRECISION = 0.9
 STEM = (4, 5, 6, 7, 8)
@@ -33,6 +32,7 @@ FUZZY_LENGTH = 5  # shorter terms must be spelled right
 WINDOW = 6  # words on both sides
 THRESHOLD = 0.3
 MEMO = 300_000  # words a task remembers
+CONTEXTS = 1_000_000  # uses a task remembers while it looks for different contexts
 STATES = 200_000  # automaton states a task keeps
 
 # Words that introduce what somebody else said (fixed values).
@@ -226,26 +226,36 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _contexts(words: frozenset[str], stems: frozenset[str]):
-    """``term, context`` for the uses of candidates; a context is the words beside it."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, stem, context`` for uses of words and stems; a context is the words beside it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            terms, contexts = [], []
-            for text in texts_of(batch, "text"):
-                said = [_STRIP.sub("", w) for w in text.lower().split()]
-                for i, word in enumerate(said):
-                    of = [word] if word in words else []
-                    of += [word[:n] for n in STEM if word[:n] in stems and len(word) >= n]
-                    if of:
-                        beside = " ".join(said[max(0, i - 1) : i] + ["*"] + said[i + 1 : i + 2])
-                        terms += of
-                        contexts += [zlib.crc32(beside.encode("utf-8", "surrogatepass"))] * len(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names=["term", "context"]
-            )
-
-    return run
+    A task leaves out contexts it gave before, and those of terms it gave SUPPORT of. What it
+    remembers is forgotten when it grows large; then contexts are given again.
+    """
+    given: dict[tuple[str, bool], set[int]] = {}
+    size = 0
+    for batch in small_batches(batches, 64):
+        rows: list[tuple[str, bool, int]] = []
+        for text in texts_of(batch, "text"):
+            said = [_STRIP.sub("", w) for w in text.lower().split()]
+            for i, word in enumerate(said):
+                if not word:
+                    continue
+                beside = " ".join(said[max(0, i - 1) : i] + ["*"] + said[i + 1 : i + 2])
+                context = zlib.crc32(beside.encode("utf-8", "surrogatepass"))
+                for key in ((word, False), *((word[:n], True) for n in STEM if len(word) >= n)):
+                    known = given.setdefault(key, set())
+                    if len(known) < SUPPORT and context not in known:
+                        known.add(context)
+                        rows.append((*key, context))
+                        size += 1
+            if size > CONTEXTS:
+                given, size = {}, 0
+        terms, stems, contexts = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.string()), pa.array(stems, pa.bool_()), pa.array(contexts, pa.int64())],
+            names=["term", "stem", "context"],
+        )
 
 
 def _strongest(hits: set[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
@@ -289,33 +299,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")),
         "words",
     )
-    good = (F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * F.col("n"))
-    best = lambda df: df.orderBy(F.desc("t"), "term").limit(TERMS).collect()
-    found = (
+    used = words.where(F.length("word") >= 3).select(F.col("word").alias("term"), F.lit(False).alias("stem"), "t", "n")
+    near = (
         train.mapInArrow(_stems, "toxic int, stems array<string>")
         .select("toxic", F.explode("stems").alias("term"))
         .groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-        .where((F.col("t") >= STEM_SUPPORT) & (F.col("t") >= PRECISION * F.col("n")))
+        .select("term", F.lit(True).alias("stem"), "t", "n")
     )
+    support = F.when(F.col("stem"), STEM_SUPPORT).otherwise(SUPPORT)
+    good = used.union(near).where((F.col("t") >= support) & (F.col("t") >= PRECISION * F.col("n")))
+    # Words of a text that was copied are many, but always beside the same words.
+    varied = (
+        train.where("toxic = 1").select("text").distinct()
+        .mapInArrow(_contexts, "term string, stem boolean, context bigint")
+        .groupBy("term", "stem").agg(F.count_distinct("context").alias("contexts"))
+        .where(F.col("contexts") >= SUPPORT).select("term", "stem")
+    )
+    # All that pass every test: each was met in SUPPORT contexts of a bounded sample.
+    found = good.join(varied, ["term", "stem"], "left_semi").collect()
     stems: dict[str, float] = {}
-    for r in sorted(best(found), key=lambda r: (-r.t, -len(r.term), r.term)):
+    begun: set[str] = set()  # what stems begin with
+    for r in sorted((r for r in found if r.stem), key=lambda r: (-r.t, -len(r.term), r.term)):
         # Of stems that begin with each other the best known stays, the longest of equals.
-        if not any(r.term.startswith(s) or s.startswith(r.term) for s in stems):
+        kin = {r.term[:n] for n in STEM} & stems.keys()
+        if not kin and r.term not in begun:
             stems[r.term] = (r.t + 1) / (r.n + 2)
+            begun.update(r.term[:n] for n in STEM if n <= len(r.term))
     terms = {
         r.term: (r.t + 1) / (r.n + 2)
-        for r in best(words.where(good & (F.length("word") >= 3)).withColumnRenamed("word", "term"))
+        for r in sorted(found, key=lambda r: r.term)
+        if not r.stem and not any(r.term[:n] in stems for n in STEM)
     }
-    # Words of a text that was copied are many, but always beside the same words.
-    varied = {
-        r.term
-        for r in train.where("toxic = 1")
-        .mapInArrow(_contexts(frozenset(terms), frozenset(stems)), "term string, context bigint")
-        .groupBy("term").agg(F.count_distinct("context").alias("contexts"))
-        .where(F.col("contexts") >= SUPPORT).collect()
-    }
-    stems = {stem: p for stem, p in stems.items() if stem in varied}
-    terms = {t: p for t, p in terms.items() if t in varied and not any(t[:n] in stems for n in STEM)}
     counted = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     share = (counted.t or 0) / max(1, counted.n)
     lexicon = Lexicon(terms, stems, base=min(0.05, share / 10 + 1e-3), share=min(0.5, share))
