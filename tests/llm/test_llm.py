@@ -116,6 +116,23 @@ def test_trees_meet_the_recall():
     assert near_dedup.trees_for(0.99, 0.85) >= 8 > near_dedup.trees_for(0.9, 0.85)
 
 
+def test_pairs_meet_at_the_last_depth(spark, monkeypatch):
+    """All nodes branch, so pairs at the threshold have to meet after every branching."""
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", 1)
+    rng, pairs = np.random.default_rng(5), 3000
+    first = rng.integers(0, 1 << 32, (pairs, near_dedup.COORDINATES), dtype=np.uint32)
+    second = np.where(rng.random(first.shape) < 0.85, first, rng.integers(0, 1 << 32, first.shape, dtype=np.uint32))
+    rows = [(2 * i + k, m[i].tobytes()) for i in range(pairs) for k, m in enumerate((first, second))]
+    reps = spark.createDataFrame(rows, "cls bigint, minima binary")
+    small, large = near_dedup._nodes(reps, 0.85, near_dedup.trees_for(near_dedup.RECALL, 0.85))
+    places = defaultdict(set)
+    for r in small.union(large.select("key", "cls")).collect():
+        places[r.cls].add(r.key)
+    met = sum(bool(places[2 * i] & places[2 * i + 1]) for i in range(pairs))
+    print("met", met / pairs)
+    assert met >= 0.985 * pairs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 3), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

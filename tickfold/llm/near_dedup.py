@@ -144,10 +144,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trees_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
     """Trees after which a pair at the threshold has met in one with this probability.
 
-    A pair shares on average one chosen value per node, nearly Poisson distributed.
+    A pair shares on average one chosen value per node, nearly Poisson distributed. It has
+    to survive all ``depth`` branchings where nodes are large, the one of the root included.
     """
     meet = 1.0
-    for _ in range(depth - 1):
+    for _ in range(depth):
         meet = 1 - math.exp(-meet)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
