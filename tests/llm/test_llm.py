@@ -366,6 +366,21 @@ def test_copied_toxic_text_crowds_out_no_term(spark):
     assert not any(w[0].isdigit() for w in [*lexicon.words, *lexicon.stems])
 
 
+def test_terms_of_a_stem_may_be_misspelled(spark):
+    automaton = toxicity.Automaton(toxicity.Lexicon({"bomenta": 0.9}, {"bomen": 0.9}))
+    assert automaton.match("bomenta") == automaton.match("bomentx") == ("bomen", False)
+    assert automaton.match("bxmenta") == automaton.match("omenta") == ("bomenta", True)
+    assert automaton.match("bxmentx") is None
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"before{i} gribbla and{i} gribblo x{i} gribbla y{i} gribblo", 1) for i in ids[:8]]
+    rows += [(i, f"before{i} nothing after{i}", 0) for i in ids[8:40]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    scorer = toxicity.Scorer(lexicon)
+    assert "gribbl" in lexicon.stems and scorer.hits("a gxibbla here") == {("gribbla", True, False)}
+    assert scorer.score("a gxibbla here") >= toxicity.THRESHOLD > scorer.score("a word here")
+
+
 def test_quality_of_odd_rows(docs, labels):
     rows = quality.quality(docs, quality.train(docs, labels)).collect()
     assert len(rows) == docs.count() and all(0 < r.score < 1 for r in rows)

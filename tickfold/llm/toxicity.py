@@ -135,10 +135,11 @@ class Automaton:
             state = self._step(state, letter) if to is None else to
             if state < 0:
                 break
-        if node >= 0 and self.term[node]:
-            return self.term[node], False
+        # Terms that begin with a stem count as its uses if spelled right, and by themselves if not.
         if stem:
             return stem, False
+        if node >= 0 and self.term[node]:
+            return self.term[node], False
         if state >= 0:
             near = [self.term[n] for n, _ in self._sets[state] if self.term[n] and len(self.term[n]) >= FUZZY_LENGTH]
             if near:
@@ -328,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = {
         r.term: (r.t + 1) / (r.n + 2)
         for r in sorted(found, key=lambda r: r.term)
-        if not r.stem and not any(r.term[:n] in stems for n in STEM)
+        if not r.stem and (len(r.term) >= FUZZY_LENGTH or not any(r.term[:n] in stems for n in STEM))
     }
     counted = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     share = (counted.t or 0) / max(1, counted.n)
