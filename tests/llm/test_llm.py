@@ -276,6 +276,15 @@ def test_pii_own_spans_and_redaction(docs):
     assert pii.scan(docs).where("doc_id = 2").first().base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_long_secrets_are_redacted_whole():
+    secret = "7602ad27cf" * 30
+    text = f"password={secret}, passwd: {secret} end"
+    assert [s for s in pii.find_spans(text) if s[2] == "account"] == [(9, 309, "account"), (319, 619, "account")]
+    assert pii.redact(text, pii.find_spans(text)) == "password=[ACCOUNT], passwd: [ACCOUNT] end"
+    run = "password=" * 50_000
+    assert sum(s[2] == "account" for s in pii.find_spans(run)) == 1
+
+
 def test_urls(spark):
     cases = {
         "http://A.b.Example.NET/en/1?x": ("a.b.example.net", "/en/1", "example.net/en/", "allow"),

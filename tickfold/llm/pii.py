@@ -35,7 +35,7 @@ _PERSONAL = re.compile(
     r"^[^/?#]*@|/[@~][\w.-]+|[?&](?:user|email|token|key|password|session)=[^&#]+", re.I
 )
 _KEY_ID = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"[\x20:=]{1,3}([^\s,;\"']{8,64})")
+_SECRET = re.compile(r"[\x20:=]{1,3}([^\s,;\"']{8,})")
 _IBAN = re.compile(r"[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20(?:no\.?|number|nr\.?))?[\x20:#=]{1,3}([A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,19})")
 _CUES = {
