@@ -397,6 +397,17 @@ def test_quality_of_odd_rows(docs, labels):
     assert quality.quality(docs.limit(0), quality.train(docs, labels)).count() == 0
 
 
+def test_repeated_ids_are_one_labelled_document(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality.logistic, "fit", lambda found, good, dims: fitted.append((found, good)))
+    rows = [(1, f"text {i % 3}") for i in range(300)] + [(2, "other"), (3, None), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    quality.train(table, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int"))
+    ((found, good),) = fitted
+    assert good.tolist() == [1, 0, 0] and found[1].tolist() == quality.features("other").tolist()
+    assert found[0].tolist() in [quality.features(f"text {i}").tolist() for i in range(3)]
+
+
 DATA = "/root/testdata/sf0.001"
 
 

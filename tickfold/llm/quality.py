@@ -68,7 +68,7 @@ def features(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
-    """Weights from SAMPLE labelled documents at most, chosen by hash."""
+    """Weights from SAMPLE labelled documents at most, chosen by hash; one row for each id."""
     chosen = (
         labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("good"))
         .where("_id is not null and good is not null")
@@ -80,13 +80,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in small_batches(batches):
             found = [features(t).tolist() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("good"), pa.array(found, pa.list_(pa.int64()))], names=["_id", "good", "found"]
+                [batch.column("_id"), batch.column("good"), batch.column("h"), pa.array(found, pa.list_(pa.int64()))],
+                names=["_id", "good", "h", "found"],
             )
 
     text = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     rows = (
-        text.join(F.broadcast(stored(chosen, "chosen")), "_id").select("_id", "good", "text")
-        .mapInArrow(run, "_id bigint, good int, found array<bigint>").collect()
+        text.join(F.broadcast(stored(chosen, "chosen")), "_id")
+        .select("_id", "good", F.xxhash64("text").alias("h"), "text")
+        .mapInArrow(run, "_id bigint, good int, h bigint, found array<bigint>")
+        # Rows that repeat an id are one document of the sample.
+        .groupBy("_id", "good").agg(F.min(F.struct("h", "found")).alias("least"))
+        .select("_id", "good", "least.found").collect()
     )
     rows.sort()
     if not rows:  # nothing is known: every document passes
