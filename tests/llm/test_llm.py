@@ -444,6 +444,17 @@ def test_vectors(spark, tmp_path):
     assert vectors.near_vectors(spark.read.parquet(path).limit(0)).count() == 0
 
 
+def test_vectors_of_other_sizes_are_linked(spark, tmp_path):
+    rows = [(i, [1.0, 0.1 * i, 0.0, 0.0]) for i in range(6)] + [(10, [1.0, 0.0]), (11, [1.0, 0.0]), (12, [1.0, 0.2])]
+    rows += [(13, [0.0, 1.0]), (14, [2.0]), (15, [2.0]), (16, [-1.0]), (17, [0.0, 0.0])]
+    path = str(tmp_path / "v.parquet")
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(path)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.read.parquet(path)).collect()}
+    assert len(got) == len(rows) and all(got[i][1] == 0 for i in range(6))
+    assert [got[i] for i in (10, 11, 12)] == [(2, 10)] * 3
+    assert got[13] == (0, 13) and got[14] == got[15] == (1, 14) and got[16] == (0, 16) and got[17] == (0, 17)
+
+
 def test_chats(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURNS", 4)
     long = [("user" if i % 2 else "assistant", f"m{i}") for i in range(11)]

@@ -248,8 +248,8 @@ def near_vectors(
 
     Vectors with this cosine or more are linked. ``n_links`` counts the other vectors
     linked directly, ``component_id`` is the smallest id reachable, ``kept`` marks it.
-    Null and zero vectors, those with null or non-finite components, and those of another
-    size than most of the sample are linked with nothing. Null ids take part and stand for
+    Null and zero vectors and those with null or non-finite components are linked with
+    nothing, others with those of their own size only. Null ids take part and stand for
     a component only if it has no other; repeated rows are vectors of their own, of which
     the first is kept. An empty table gives no rows. ``vectors`` must come from stored files.
     """
@@ -263,16 +263,14 @@ def near_vectors(
         rows.where("raw is not null").groupBy("raw").agg(F.min("_row").alias("cls"), F.count("*").alias("weight")),
         "classes",
     )
-    # The codebooks' sample: SAMPLE rows at most, by hash.
-    drawn = classes.select("cls", "raw").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect()
-    none = vectors.sparkSession.createDataFrame([], "cls bigint, n_links bigint, grp bigint")
-    found = none
-    if drawn:
-        sizes = np.array([len(r.raw) for r in drawn])
-        wide = int(np.bincount(sizes).argmax())
-        sample = _unit(np.stack([np.frombuffer(r.raw) for r in drawn if len(r.raw) == wide]))
-        index = MultiIndex(sample, classes.count(), cosine, recall)
-        found = _class_links(classes.where(F.length("raw") == wide), index, cosine)
+    found = vectors.sparkSession.createDataFrame([], "cls bigint, n_links bigint, grp bigint")
+    # An index for each size of vectors that occurs.
+    for r in classes.groupBy(F.length("raw").alias("wide")).agg(F.count("*").alias("n")).orderBy("wide").collect():
+        alike = classes.where(F.length("raw") == r.wide)
+        # The codebooks' sample: SAMPLE rows at most, by hash.
+        drawn = alike.select("cls", "raw").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect()
+        sample = _unit(np.stack([np.frombuffer(d.raw) for d in drawn]))
+        found = found.union(_class_links(alike, MultiIndex(sample, r.n, cosine, recall), cosine))
     member = stored(
         rows.join(classes.join(found, "cls", "left").select("raw", "cls", "weight", "n_links", "grp"), "raw", "left").select(
             "_row", "vec_id",
