@@ -365,8 +365,8 @@ NO_BOUND = "cast(null as bigint)"
 
 
 def _hundredth(x: str) -> Column:
-    """A whole number over 100, rounded down."""
-    return F.expr(f"(({x}) - pmod({x}, 100L)) div 100L")
+    """A whole number, possibly wider than a long, over 100 and rounded down."""
+    return F.expr(f"cast((({x}) - pmod({x}, 100)) div 100 as bigint)")
 
 
 def hard_negatives(
@@ -411,8 +411,8 @@ def hard_negatives(
     # Whole numbers: low * p <= 100 * s <= high * p.
     window = F.struct(
         F.col("rank").cast("int").alias("at"),
-        (-_hundredth(f"-{low} * score")).alias("floor"),
-        _hundredth(f"{high} * score").alias("ceiling"),
+        (-_hundredth(f"-{low} * cast(score as decimal(20, 0))")).alias("floor"),
+        _hundredth(f"{high} * cast(score as decimal(20, 0))").alias("ceiling"),
         F.expr(NO_BOUND).alias("least"),
     )
     told = first.groupBy("rid").agg(F.sort_array(F.collect_list(window)).alias("windows"))

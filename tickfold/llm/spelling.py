@@ -31,6 +31,8 @@ BITS = 24
 PASS_BYTES = 32 << 20
 # Distinct words a task counts before it sends them.
 FLUSH = 1 << 17
+# Words whose edits one task looks up; many edits come from few bytes.
+TASK_WORDS = 1 << 15
 # Hashes of edits that a task works out at a time.
 TILE = 1 << 20
 # Lengths up to this have a filter of their own, longer ones one for each power of two.
@@ -266,6 +268,7 @@ def near_words(words: DataFrame, letters: list[int] = LETTERS, pass_bytes: int =
     for row in by_size.toLocalIterator():
         held[shard_of(row["size"])] += row["n"]
     blocks = {shard: blocks_for(n, BITS) for shard, n in held.items()}
+    spread = words.repartition(-(-sum(held.values()) // TASK_WORDS) or 1, "word")
     found = spark.createDataFrame([], "word string, n bigint, other string")
     if blocks:
         segments = stored(build_segments(_hashed(words, blocks)), "word-filters")
@@ -273,7 +276,7 @@ def near_words(words: DataFrame, letters: list[int] = LETTERS, pass_bytes: int =
             filters: dict[int, list[Bloom]] = {}
             for p in parts:
                 filters.setdefault(p.shard, []).append(loaded(segments, p.shard, p.blocks, p.first, p.last))
-            some = _probe(words, spark.sparkContext.broadcast(filters), letters)
+            some = _probe(spread, spark.sparkContext.broadcast(filters), letters)
             # One pass is on the driver at a time.
             found = found.unionByName(stored(some, "word-edits"))
     return found.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
