@@ -112,6 +112,24 @@ def test_partitioning_does_not_matter(spark, make_points):
     assert states[0] == states[1]
 
 
+@pytest.mark.parametrize("recursive", [True, False])
+def test_grouped_outliers_do_not_know_the_layout(spark, make_points, recursive):
+    """Neither partitions nor the bound of a chunk change the micro-clusters."""
+    batches = drifting(3, 150, seed=8, jump=3.0)
+    states = []
+    for parts, chunk_rows in ((2, 200_000), (7, 9), (50, 1)):
+        cfg = ModelConfig(q=8, dims=2, t_factor=0.4, delta=1, seed=1, scaling="none", outliers="partitioned",
+                          recursive_outliers=recursive, chunk_rows=chunk_rows, max_groups=20)
+        model = OnlineModel(spark, cfg)
+        for i, rows in enumerate(batches):
+            meta = model.step(make_points(rows, 1000 * i, parts), i)
+        assert meta["n_outliers"] > 20
+        state = model.micro_clusters().orderBy("pos").collect()
+        states.append([(r["mc_id"], r["n"], tuple(r["ids"]), [round(v, 9) for v in r["cf1x"]],
+                        [round(v, 9) for v in r["cf2x"]], r["cf1t"]) for r in state])
+    assert states[0] == states[1] == states[2]
+
+
 def test_repeated_batch_replaces_its_tick(spark, make_points):
     batches = drifting(3, 40, seed=3)
     cfg = ModelConfig(q=5, dims=2, t_factor=1.0, seed=1)

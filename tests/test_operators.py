@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tickfold.functions import stats
 from tickfold.operators import features as feat
 from tickfold.operators import kmeans, nearest, sampling, scaling
-from tickfold.operators.absorb import absorb, combine_groups, left_over, partial_sums
+from tickfold.config import run_dir
+from tickfold.operators.absorb import absorb, left_over, partial_sums
+from tickfold.operators.cells import cell_width, group_outliers
+from tickfold.operators.founding import Slots
 from tickfold.operators.nearest import Model
 from tickfold.plans import macro
 from tickfold.plans.initial import WarmCenters, random_centers
@@ -200,19 +203,50 @@ def test_absorb_splits_every_point_once(spark, make_points):
     assert out[0]["cf1x"] == x[~inside][0].tolist()
 
 
-def test_grouped_outliers_keep_their_sums(spark, make_points):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(400, 2)) * 5
-    model = Model(np.arange(4), np.arange(4), np.zeros((4, 2)), np.full(4, 0.1))
-    groups = left_over(absorb(make_points(x, parts=8), model, 0.5, group_outliers=True))
-    merged = combine_groups(groups, model, 0.5, 1)
-    far = np.sqrt(np.square(x).sum(axis=1)) > 0.05
-    for g in (groups, merged):
-        total = feat.sum_features(g, [], 2, times=False).first()
-        assert total["n"] == far.sum()
-        np.testing.assert_allclose(total["cf1x"], x[far].sum(axis=0))
-        np.testing.assert_allclose(total["cf2x"], np.square(x[far]).sum(axis=0))
-    assert groups.count() <= 8 * 4 and merged.count() <= 4
+@pytest.mark.parametrize("dims", [2, 9, 20])
+def test_groups_of_outliers_depend_on_the_points_alone(spark, make_points, dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(600, dims)) * 5
+    x[::3] = x[0]  # a third of the points are equal
+    x[7] *= 1e6
+    model = Model(np.arange(4), np.arange(4), np.zeros((4, dims)), np.full(4, 0.1))
+    width = cell_width(model.rmsd, dims, 0.5)
+    seen = []
+    for parts in (1, 2, 7, 50):
+        groups, steps = group_outliers(left_over(absorb(make_points(x, parts=parts), model, 0.5)), width, dims, 25, run_dir(spark, "cells"))
+        rows = groups.orderBy("point_id").collect()
+        assert 2 <= len(rows) <= 25 and steps > 0
+        assert sum(r["n"] for r in rows) == 600
+        np.testing.assert_allclose(np.sum([r["cf1x"] for r in rows], axis=0), x.sum(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(np.sum([r["cf2x"] for r in rows], axis=0), np.square(x).sum(axis=0), rtol=1e-12)
+        seen.append(rows)
+    assert all(rows == seen[0] for rows in seen)  # to the last bit
+
+
+def test_groups_of_few_or_no_outliers(spark, make_points):
+    points = make_points([[9.0, 9.0], [9.0, 9.01], [-9.0, 9.0]]).selectExpr(
+        "point_id", "1L as n", "x as cf1x", "cast(null as array<double>) as cf2x"
+    )
+    groups, steps = group_outliers(points, 1.0, 2, 10, run_dir(spark, "cells"))
+    assert [(r["point_id"], r["n"]) for r in groups.orderBy("point_id").collect()] == [(0, 2), (2, 1)] and steps == 0
+    assert group_outliers(points, 1.0, 2, 1, run_dir(spark, "cells"))[0].select("n").collect()[0][0] == 3
+    assert group_outliers(points.limit(0), 1.0, 2, 10, run_dir(spark, "cells"))[0].collect() == []
+
+
+def test_closest_pair_of_slots_is_kept_up_to_date():
+    rng = np.random.default_rng(8)
+    q = 30
+    centroid = rng.integers(0, 12, size=(q, 2)).astype(float)
+    centroid[5] = np.nan
+    n = np.ones(q, np.int64)
+    slots = Slots(n, centroid.copy(), centroid**2, centroid, np.zeros(q), np.zeros(q, bool), 1.0)
+    for _ in range(200):
+        d2 = np.square(centroid[:, None] - centroid[None]).sum(axis=2)
+        d2[np.isnan(d2) | ~np.triu(np.ones((q, q), bool), 1)] = np.inf
+        assert slots._closest() == divmod(int(d2.argmin()), q)
+        for moved in rng.integers(0, q, 3):
+            centroid[moved] = rng.integers(0, 12, 2)
+            slots._moved.add(int(moved))
 
 
 def test_weighted_sums_count_repeats(spark, make_points):
@@ -300,8 +334,7 @@ def test_weights_of_outliers(spark):
 
     model = Model(np.arange(1), np.arange(1), np.zeros((1, 1)), np.ones(1))
     points = spark.createDataFrame([(1, [9.0], 7), (2, [0.5], 3)], "point_id bigint, x array<double>, weight bigint")
-    for grouped in (False, True):
-        work = absorb(points, model, 1.0, group_outliers=grouped).collect()
-        assert sum(r["n"] for r in work) == 10
-        out = next(r for r in work if r["pos"] is None)
-        assert (out["n"], out["cf1x"], out["cf2x"]) == (7, [63.0], [567.0])
+    work = absorb(points, model, 1.0).collect()
+    assert sum(r["n"] for r in work) == 10
+    out = next(r for r in work if r["pos"] is None)
+    assert (out["n"], out["cf1x"], out["cf2x"]) == (7, [63.0], [567.0])

@@ -16,6 +16,7 @@ from tickfold.functions.pyramid import order_of, retained
 from tickfold.operators import features as feat
 from tickfold.operators import kmeans, nearest, sampling, scaling
 from tickfold.operators.absorb import absorb, left_over, partial_sums
+from tickfold.operators.cells import cell_width, group_outliers
 from tickfold.operators.lineage import lineage, subtract_related
 from tickfold.plans import history, macro
 from tickfold.plans.initial import WarmCenters, random_centers
@@ -665,12 +666,12 @@ STREAM = ModelConfig(
 )
 
 
-@query
-def outlier_maintenance(spark, d):
-    """Last day placed on the hourly micro-clusters of the days before it.
+# Groups that outliers of a day are put into, where they are grouped.
+FEW_GROUPS = 24
 
-    None of them counts as stale, so every outlier joins a founded one or merges two.
-    """
+
+def _last_day(spark, d):
+    """The hourly micro-clusters before the last day, their model, and that day's pass."""
     deltas = T.hourly_deltas(spark, d)
     ticks = history.catalog_of(deltas)
     before = feat.sum_features(deltas.where(F.col("tc") < ticks[-1]), ["mc_id"], 2)
@@ -678,14 +679,58 @@ def outlier_maintenance(spark, d):
     state = state.withColumn("ids", F.array("mc_id"))
     model = nearest.whole_model(state)
     batch = T.event_points(spark, d).where(F.col("tc") == ticks[-1])
-    work = absorb(batch, model, t_factor=1.0)
+    return state, model, absorb(batch, model, t_factor=1.0), ticks[-1]
+
+
+def _groups(work, model):
+    scratch = run_dir(work.sparkSession, "cells")
+    return group_outliers(left_over(work), cell_width(model.rmsd, 2, 0.125), 2, FEW_GROUPS, scratch)[0]
+
+
+def _placed(spark, d, recursive: bool, grouped: bool = False):
+    state, model, work, tick = _last_day(spark, d)
+    rest = _groups(work, model) if grouped else left_over(work)
     desk = desk_rows(state, STATE_STAGE, next_id=100)
     desk = desk.unionByName(desk_rows(partial_sums(work, 2), DELTA_STAGE))
-    desk = desk.unionByName(desk_rows(left_over(work), OUTLIER_STAGE))
-    done = settle(desk, Rule(ticks[-1], 1.0, True, m_last_points=20, delta=ticks[-1]))
+    desk = desk.unionByName(desk_rows(rest, OUTLIER_STAGE))
+    done = settle(desk, Rule(tick, 1.0, recursive, m_last_points=20, delta=tick))
     return flat(done.where(F.col("stage") == STATE_STAGE), "pos", "mc_id", digits=4)
 
 
+@query
+def outlier_maintenance(spark, d):
+    """Last day placed on the hourly micro-clusters of the days before it.
+
+    None of them counts as stale, so every outlier joins a founded one or merges two.
+    """
+    return _placed(spark, d, recursive=True)
+
+
+@query
+def outlier_maintenance_flat(spark, d):
+    """As ``outlier_maintenance``, but no outlier joins a founded micro-cluster."""
+    return _placed(spark, d, recursive=False)
+
+
+@query
+def outlier_groups(spark, d):
+    """The last day's outliers as groups of a grid, coarse enough for a few of them."""
+    _, model, work, _ = _last_day(spark, d)
+    return flat(_groups(work, model), "point_id", digits=4)
+
+
+@query
+def outliers_grouped(spark, d):
+    """As ``outlier_maintenance``, with the outliers grouped before they are placed."""
+    return _placed(spark, d, recursive=True, grouped=True)
+
+
+@query
+def outliers_grouped_flat(spark, d):
+    """As ``outliers_grouped``; every group founds a micro-cluster."""
+    return _placed(spark, d, recursive=False, grouped=True)
+
+
 @query
 def online_stream(spark, d):
     """Micro-clusters after streaming all events, cut into days."""
@@ -726,7 +771,7 @@ def online_tick_totals(spark, d):
 
 @query
 def online_partitioned(spark, d):
-    """As ``online_tick_totals``, with outliers grouped where they are read."""
+    """As ``online_tick_totals``, with outliers grouped by cells."""
     config = replace(STREAM, scaling="none", t_factor=1.0, outliers="partitioned")
     model, _ = _replayed(spark, d, config)
     deltas = model.ledger.snapshots("delta")

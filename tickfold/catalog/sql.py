@@ -590,9 +590,7 @@ def _added(name: str, point: str) -> str:
 
 _MOVED = "((joined AND i = slot) OR (NOT joined AND i = other))"
 
-# One recursion step per outlier, in order: it either joins a founded
-# micro-cluster or makes two of the hours merge.
-SQL["outlier_maintenance"] = f"""WITH RECURSIVE {HOURLY},
+_LAST_DAY = f"""{HOURLY},
 lt AS (SELECT max(tc) AS tc FROM dl),
 bf AS (SELECT CAST(mc_id AS INTEGER) AS pos, {SUMS} FROM dl
        WHERE tc < (SELECT tc FROM lt) GROUP BY mc_id),
@@ -603,9 +601,32 @@ near AS (SELECT point_id, any_value(a) AS a, any_value(b) AS b,
          FROM (SELECT * FROM v WHERE tc = (SELECT tc FROM lt)) CROSS JOIN mc GROUP BY point_id),
 pt AS MATERIALIZED (SELECT point_id, a, b, m[2] AS pos, sqrt(m[1]) <= m[3] AS inside FROM near),
 inl AS (SELECT pos, count(*) AS n, sum(a) AS a1, sum(b) AS b1, sum(a * a) AS a2, sum(b * b) AS b2
-        FROM pt WHERE inside GROUP BY pos),
-op AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) AS k, a, b
-                    FROM pt WHERE NOT inside),
+        FROM pt WHERE inside GROUP BY pos)"""
+
+# Outliers of one cell of a grid are one group; axes are halved in turn until there are few.
+_GROUPS = """wd AS (SELECT pow(2, floor(log2(0.125 * median(rm) / sqrt(2)))) AS w FROM mc WHERE rm > 0),
+oc AS (SELECT point_id, a, b, s, trunc(floor(a / w) / 2 ** ((s + 1) // 2)) AS ia, trunc(floor(b / w) / 2 ** (s // 2)) AS ib
+       FROM pt CROSS JOIN wd CROSS JOIN range(60) t(s) WHERE NOT inside),
+fs AS (SELECT min(s) AS s FROM (SELECT s FROM oc GROUP BY s HAVING count(DISTINCT (ia, ib)) <= 24)),
+og AS (SELECT min(point_id) AS point_id, count(*) AS m, sum(a) AS a, sum(b) AS b,
+              sum(a * a) AS aa, sum(b * b) AS bb
+       FROM oc WHERE s = (SELECT s FROM fs) GROUP BY ia, ib)"""
+
+SQL["outlier_groups"] = f"""WITH {_LAST_DAY},
+{_GROUPS}
+SELECT point_id, m AS n, {r('a', 4)} AS s1_0, {r('b', 4)} AS s1_1, {r('aa', 4)} AS s2_0, {r('bb', 4)} AS s2_1
+FROM og"""
+
+_SINGLE = """og AS (SELECT point_id, CAST(1 AS BIGINT) AS m, a, b, a * a AS aa, b * b AS bb FROM pt WHERE NOT inside)"""
+
+
+def _placed(groups: str, joins: str) -> str:
+    """One recursion step per outlier or group, in order: it joins a founded
+    micro-cluster, or makes two of the others merge.
+    """
+    return f"""WITH RECURSIVE {_LAST_DAY},
+{groups},
+op AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) AS k, m, a, b, aa, bb FROM og),
 st AS (SELECT mc.pos, mc.n + coalesce(inl.n, 0) AS n, mc.a1 + coalesce(inl.a1, 0) AS a1,
               mc.b1 + coalesce(inl.b1, 0) AS b1, mc.a2 + coalesce(inl.a2, 0) AS a2,
               mc.b2 + coalesce(inl.b2, 0) AS b2,
@@ -625,36 +646,37 @@ f AS (
          list_transform(rm, lambda v, i: CASE
            WHEN {_MOVED} THEN sqrt(greatest((a2[i] + b2[i]) / n[i]
              - (a1[i] * a1[i] + b1[i] * b1[i]) / (n[i] * n[i]), 0))
+           WHEN NOT joined AND i = slot AND m > 1 THEN sqrt(greatest((aa + bb) / m - (a * a + b * b) / (m * m), 0))
            WHEN NOT joined AND i = slot THEN sqrt(list_min(list_filter(
              list_transform(range(1, {_N} + 1), lambda j: {_gap('j', 'slot')}),
              lambda g: g <> 0)))
            ELSE v END) AS rm,
          founded, next_id
   FROM (
-    SELECT k, joined, slot, other, n, a1, b1, a2, b2, t1, t2, rm,
+    SELECT k, m, a, b, aa, bb, joined, slot, other, n, a1, b1, a2, b2, t1, t2, rm,
            list_transform(ids, lambda v, i: CASE WHEN NOT joined AND i = slot THEN next_id
                                                  ELSE v END) AS ids,
            list_transform(ca, lambda v, i: CASE WHEN {_MOVED} THEN a1[i] / n[i]
-                            WHEN NOT joined AND i = slot THEN a ELSE v END) AS ca,
+                            WHEN NOT joined AND i = slot THEN a / m ELSE v END) AS ca,
            list_transform(cb, lambda v, i: CASE WHEN {_MOVED} THEN b1[i] / n[i]
-                            WHEN NOT joined AND i = slot THEN b ELSE v END) AS cb,
+                            WHEN NOT joined AND i = slot THEN b / m ELSE v END) AS cb,
            CASE WHEN joined OR list_contains(founded, slot) THEN founded
                 ELSE list_append(founded, slot) END AS founded,
            CASE WHEN joined THEN next_id ELSE next_id + 1 END AS next_id
     FROM (
-      SELECT k, a, b, ids, ca, cb, rm, founded, next_id, joined, slot, other,
-             {_added('n', '1')}, {_added('a1', 'a')}, {_added('b1', 'b')},
-             {_added('a2', 'a * a')}, {_added('b2', 'b * b')},
-             {_added('t1', 'tc')}, {_added('t2', 'tc * tc')}
+      SELECT k, m, a, b, aa, bb, ids, ca, cb, rm, founded, next_id, joined, slot, other,
+             {_added('n', 'm')}, {_added('a1', 'a')}, {_added('b1', 'b')},
+             {_added('a2', 'aa')}, {_added('b2', 'bb')},
+             {_added('t1', 'm * tc')}, {_added('t2', 'm * tc * tc')}
       FROM (
         SELECT *, CAST(CASE WHEN joined THEN hit[3] ELSE pair[3] END AS BIGINT) AS slot,
                CAST(CASE WHEN joined THEN -1 ELSE pair[2] END AS BIGINT) AS other
         FROM (
-          SELECT *, coalesce(sqrt(hit[1]) <= rm[CAST(hit[3] AS BIGINT)], false) AS joined
+          SELECT *, {joins} AS joined
           FROM (
-            SELECT op.k, op.a, op.b, f.* EXCLUDE (k), lt.tc,
+            SELECT op.*, f.* EXCLUDE (k), lt.tc,
                    list_sort(list_transform(founded, lambda s, i: [
-                     (a1[s] / n[s] - op.a) ** 2 + (b1[s] / n[s] - op.b) ** 2, i, s]))[1] AS hit,
+                     (a1[s] / n[s] - op.a / op.m) ** 2 + (b1[s] / n[s] - op.b / op.m) ** 2, i, s]))[1] AS hit,
                    list_sort(list_transform(
                      list_filter(range({_N * _N}), lambda x: x // {_N} < x % {_N}),
                      lambda x: [{_gap(f'x // {_N} + 1', f'x % {_N} + 1')},
@@ -666,3 +688,10 @@ FROM (SELECT unnest(range(1, {_N} + 1)) AS p, unnest(ids) AS mc_id, unnest(n) AS
              unnest(a1) AS a1, unnest(b1) AS b1, unnest(a2) AS a2, unnest(b2) AS b2,
              unnest(t1) AS t1, unnest(t2) AS t2
       FROM f WHERE k = (SELECT max(k) FROM f))"""
+
+
+_JOINS = "coalesce(sqrt(hit[1]) <= rm[CAST(hit[3] AS BIGINT)], false)"
+SQL["outlier_maintenance"] = _placed(_SINGLE, _JOINS)
+SQL["outlier_maintenance_flat"] = _placed(_SINGLE, "false")
+SQL["outliers_grouped"] = _placed(_GROUPS, _JOINS)
+SQL["outliers_grouped_flat"] = _placed(_GROUPS, "false")

@@ -17,7 +17,8 @@ class ModelConfig:
     """Parameters of one micro-cluster model.
 
     ``q`` micro-clusters of ``dims`` dimensions are kept; about ten per wanted
-    macro-cluster is a good choice for ``q``.
+    macro-cluster is a good choice for ``q``. With ``outliers="partitioned"`` the
+    outliers of a tick are put into ``max_groups`` groups at most before they are placed.
     """
 
     q: int
@@ -34,6 +35,7 @@ class ModelConfig:
     scaling: str = "batch"  # "batch" | "none" | "fixed"
     outliers: str = "exact"  # "exact" | "partitioned"
     chunk_rows: int = 200_000
+    max_groups: int = 4096
     alpha: int = 2
     l: int = 10  # noqa: E741
     seed: int = 0
@@ -51,8 +53,8 @@ class ModelConfig:
             raise ValueError(f"unknown outlier mode {self.outliers!r}")
         if self.alpha < 2 or self.l < 0:
             raise ValueError("alpha must be at least 2 and l at least 0")
-        if self.window_time < 1 or self.chunk_rows < 1:
-            raise ValueError("window_time and chunk_rows must be positive")
+        if min(self.window_time, self.chunk_rows, self.max_groups) < 1:
+            raise ValueError("window_time, chunk_rows and max_groups must be positive")
 
     @property
     def init_mode(self) -> str:

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickfold.operators.features import sum_features
-from tickfold.operators.founding import Slots
 from tickfold.operators.nearest import Model, matrix_of, nearest_rows
 
-# A row with ``pos`` is a partial sum for that slot; one without is an outlier,
-# or with n > 1 a group of outliers. ``cf2x`` of a single point is left out.
+# A row with ``pos`` is a partial sum for that slot; one without is an outlier, with
+# n > 1 a weighted one. ``cf2x`` of a single point is left out.
 WORK = "pos int, point_id bigint, n bigint, cf1x array<double>, cf2x array<double>"
 
 VECTOR = pa.list_(pa.float64())
@@ -68,13 +67,11 @@ def absorb(
     t_factor: float = float("inf"),
     mu=None,
     sd=None,
-    group_outliers: bool = False,
 ) -> DataFrame:
     """Assign every point and sum up, inside the task that reads it.
 
     Each task emits at most one row per slot, plus the points outside the
-    boundary of their micro-cluster. With ``group_outliers`` those are first
-    grouped within the task, so it emits at most one more row per slot. The
+    boundary of their micro-cluster. The
     default boundary is infinite: plain nearest-center sums. A column ``weight``
     (whole numbers) counts a row several times.
     """
@@ -85,7 +82,6 @@ def absorb(
 
     def run(batches):
         sums = _Sums(len(model.pos), model.dims)
-        groups = Slots.empty(len(model.pos), model.dims, t_factor, model.centroid)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -102,32 +98,16 @@ def absorb(
             rest = np.nonzero(~inside)[0]
             ids = batch.column(0).to_numpy()[rest]
             many = w[rest] if weighted else np.ones(len(rest), np.int64)
-            if group_outliers:
-                for i, pid, n in zip(rest, ids, many):
-                    groups.place(int(n), n * x[i], n * np.square(x[i]), tag=pid)
-            elif weighted:
+            if weighted:
                 n = many[:, None]
                 yield _work_batch(None, ids, many.astype(np.int64), n * x[rest], n * np.square(x[rest]))
             else:
                 yield _work_batch(None, ids, many, x[rest], None)
         yield sums.batch(model.pos)
-        if group_outliers:
-            yield groups_batch(groups)
 
     return points.select(*columns).mapInArrow(run, WORK)
 
 
-def groups_batch(groups: Slots) -> pa.RecordBatch:
-    used = [s for s in range(groups.q) if groups.n[s] > 0]
-    return _work_batch(
-        None,
-        [groups.tag[s] for s in used],
-        groups.n[used],
-        groups.cf1x[used],
-        groups.cf2x[used],
-    )
-
-
 def partial_sums(work: DataFrame, dims: int) -> DataFrame:
     """Features of the absorbed points per slot: ``pos, n, cf1x, cf2x``."""
     return sum_features(work.where("pos is not null"), ["pos"], dims, times=False)
@@ -135,18 +115,3 @@ def partial_sums(work: DataFrame, dims: int) -> DataFrame:
 
 def left_over(work: DataFrame) -> DataFrame:
     return work.where("pos is null")
-
-
-def combine_groups(groups: DataFrame, model: Model, t_factor: float, parts: int) -> DataFrame:
-    """Merge the outlier groups of many tasks into at most ``parts`` times q."""
-    reference, q, dims = model.centroid, len(model.pos), model.dims
-
-    def run(batches):
-        slots = Slots.empty(q, dims, t_factor, reference)
-        for batch in batches:
-            for r in batch.to_pylist():
-                slots.place(r["n"], np.array(r["cf1x"]), np.array(r["cf2x"]), tag=r["point_id"])
-        yield groups_batch(slots)
-
-    spread = groups.repartition(parts, F.xxhash64("point_id")).sortWithinPartitions("point_id")
-    return spread.mapInArrow(run, WORK)

@@ -35,16 +35,18 @@ def combine(name: str, sign: str, other: str) -> str:
     return f"{name} {sign} {other}"
 
 
-def _sum_elements(df, keys, arrays, scalars, dims, gather=()) -> DataFrame:
+def _sum_elements(df, keys, arrays, scalars, dims, gather=(), least=()) -> DataFrame:
     """Sum array columns element by element, and scalars, per key.
 
     ``arrays`` maps a result to the SQL of its element ``{i}``. Both forms combine
     on the map side, so only one row per key and task is shuffled, however many
-    rows a key has. The lists named in ``gather`` are concatenated.
+    rows a key has. The lists named in ``gather`` are concatenated, of the columns in
+    ``least`` the minimum is kept.
     """
     if dims <= NARROW:
         sums = [F.expr(f"sum({c})").alias(name) for name, c in scalars.items()]
         sums += [F.expr(f"flatten(collect_list({c}))").alias(c) for c in gather]
+        sums += [F.min(c).alias(c) for c in least]
         sums += [
             F.expr(f"sum({element.format(i=i)})").alias(f"_{name}_{i}")
             for name, element in arrays.items()
@@ -54,13 +56,14 @@ def _sum_elements(df, keys, arrays, scalars, dims, gather=()) -> DataFrame:
             f"array({', '.join(f'_{name}_{i}' for i in range(dims))}) as {name}"
             for name in arrays
         ]
-        return df.groupBy(*keys).agg(*sums).selectExpr(*keys, *scalars, *gather, *packed)
+        return df.groupBy(*keys).agg(*sums).selectExpr(*keys, *scalars, *gather, *least, *packed)
 
     fields = ", ".join(f"'{name}', {e.format(i='i')}" for name, e in arrays.items())
     long = df.selectExpr(
         *keys,
         *[f"{c} as {name}" for name, c in scalars.items()],
         *gather,
+        *least,
         f"posexplode(transform(sequence(0, {dims - 1}), i -> named_struct({fields}))) as (dim, v)",
     )
     per_dim = long.groupBy(*keys, "dim").agg(
@@ -69,14 +72,16 @@ def _sum_elements(df, keys, arrays, scalars, dims, gather=()) -> DataFrame:
             F.expr(f"flatten(collect_list(case when dim = 0 then {c} end))").alias(c)
             for c in gather
         ],
+        *[F.min(c).alias(c) for c in least],
         *[F.expr(f"sum(v.{name})").alias(name) for name in arrays],
     )
     rows = per_dim.groupBy(*keys).agg(
         *[F.sum(s).alias(s) for s in scalars],
         *[F.expr(f"flatten(collect_list({c}))").alias(c) for c in gather],
+        *[F.min(c).alias(c) for c in least],
         F.sort_array(F.collect_list(F.struct("dim", *arrays))).alias("_v"),
     )
-    return rows.selectExpr(*keys, *scalars, *gather, *[f"_v.{name} as {name}" for name in arrays])
+    return rows.selectExpr(*keys, *scalars, *gather, *least, *[f"_v.{name} as {name}" for name in arrays])
 
 
 def features_of_points(points: DataFrame, keys: list[str], dims: int) -> DataFrame:

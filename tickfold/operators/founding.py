@@ -24,14 +24,12 @@ class Slots:
     touched since; ``n``, ``cf1x`` and ``cf2x`` are current.
     """
 
-    def __init__(self, n, cf1x, cf2x, centroid, rmsd, stale, t_factor, recursive=True,
-                 reference=None):
+    def __init__(self, n, cf1x, cf2x, centroid, rmsd, stale, t_factor, recursive=True):
         self.n, self.cf1x, self.cf2x = n, cf1x, cf2x
         self.centroid, self.rmsd = centroid, rmsd
         self.q = len(n)
         self.t_factor = t_factor
         self.recursive = recursive
-        self.reference = reference
         self.free = [s for s in range(self.q) if stale[s]]
         self.pool = [s for s in range(self.q) if not stale[s]]
         # With fewer than two others to merge, founded ones are merged as well.
@@ -41,8 +39,7 @@ class Slots:
         self.rank: dict[int, int] = {}
         # Current means of the founded micro-clusters, in the order of founding.
         self._means = np.empty_like(centroid)
-        self.tag = [None] * self.q
-        self._pairs = None
+        self._gap = None
         self._place_in_pool = {s: i for i, s in enumerate(self.pool)}
         self._moved: set[int] = set()
 
@@ -52,16 +49,7 @@ class Slots:
             self.founded.append(slot)
         self._means[self.rank[slot]] = self.cf1x[slot] / self.n[slot]
 
-    @staticmethod
-    def empty(q, dims, t_factor, reference) -> "Slots":
-        """Slots of their own, for grouping outliers apart from the model."""
-        return Slots(
-            np.zeros(q, np.int64), np.zeros((q, dims)), np.zeros((q, dims)),
-            np.full((q, dims), np.nan), np.zeros(q), np.ones(q, dtype=bool), t_factor,
-            reference=reference,
-        )
-
-    def place(self, n, cf1x, cf2x, tag=None):
+    def place(self, n, cf1x, cf2x):
         """Place one outlier (or a group of them) and say what was done.
 
         Returns ``(slot, merged_into)``: ``slot`` received it; it was founded
@@ -84,7 +72,7 @@ class Slots:
         else:
             into, slot = self._closest()
             self._add(into, self.n[slot], self.cf1x[slot], self.cf2x[slot])
-        self._found(slot, n, cf1x, cf2x, tag)
+        self._found(slot, n, cf1x, cf2x)
         return slot, into
 
     def _add(self, slot, n, cf1x, cf2x):
@@ -97,43 +85,60 @@ class Slots:
         if slot in self.rank:
             self._means[self.rank[slot]] = self.centroid[slot]
 
-    def _found(self, slot, n, cf1x, cf2x, tag):
+    def _found(self, slot, n, cf1x, cf2x):
         self.n[slot], self.cf1x[slot], self.cf2x[slot] = n, cf1x, cf2x
         self.centroid[slot] = cf1x / n
-        self.tag[slot] = tag
         self._moved.add(slot)
         self.rmsd[slot] = self.nearest_distance(slot) if n == 1 else rmsd(n, cf1x, cf2x)
         self.mark_founded(slot)
 
     def nearest_distance(self, slot) -> float:
         """Distance to the nearest other centroid, those at distance zero left out."""
-        best = np.inf
-        for others in (self.centroid, self.reference):
-            if others is not None:
-                gaps = others - self.centroid[slot]
-                d2 = np.einsum("ij,ij->i", gaps, gaps)
-                # Empty slots have no centroid: their NaN is not above zero.
-                best = min(best, d2.min(where=d2 > 0.0, initial=np.inf))
-        return math.sqrt(best)
+        gaps = self.centroid - self.centroid[slot]
+        d2 = np.einsum("ij,ij->i", gaps, gaps)
+        # Empty slots have no centroid: their NaN is not above zero.
+        return math.sqrt(d2.min(where=d2 > 0.0, initial=np.inf))
 
     def _closest(self) -> tuple[int, int]:
-        """The closest two of the pool; the first pair in slot order wins ties."""
-        size = len(self.pool)
-        if self._pairs is None:
-            self._pairs = np.full((size, size), np.inf)
+        """The closest two of the pool; the first pair in slot order wins ties.
+
+        Kept for each slot of the pool: the nearest of those after it. When a slot has
+        moved, its own is looked for again, and that of the slots it was nearest to;
+        for the others before it one distance decides.
+        """
+        if self._gap is None:
+            size = len(self.pool)
             self._slots = np.array(self.pool)
-            self._moved = set(self.pool)
-        where = self._place_in_pool
-        for slot in self._moved:
-            if slot in where:
-                i = where[slot]
-                gaps = self.centroid[self._slots] - self.centroid[slot]
-                d2 = np.einsum("ij,ij->i", gaps, gaps)
-                self._pairs[i, i + 1 :] = d2[i + 1 :]
-                self._pairs[:i, i] = d2[:i]
+            self._gap, self._next = np.full(size, np.inf), np.zeros(size, np.int64)
+            for i in range(size):
+                self._look_after(i, self._distances(i))
+            self._moved.clear()
+        places = sorted(self._place_in_pool[s] for s in self._moved if s in self._place_in_pool)
         self._moved.clear()
-        i, j = divmod(int(self._pairs.argmin()), size)
-        return self.pool[i], self.pool[j]
+        for i in places:
+            d2 = self._distances(i)
+            self._look_after(i, d2)
+            before = d2[:i]
+            closer = (before < self._gap[:i]) | ((before == self._gap[:i]) & (i < self._next[:i]))
+            lost = np.nonzero((self._next[:i] == i) & (before > self._gap[:i]))[0]
+            self._gap[:i][closer], self._next[:i][closer] = before[closer], i
+            for k in lost:
+                self._look_after(k, self._distances(k))
+        i = int(self._gap.argmin())
+        return self.pool[i], self.pool[self._next[i]]
+
+    def _distances(self, i: int) -> np.ndarray:
+        """Squared distances from place ``i`` of the pool; empty slots are infinitely far."""
+        gaps = self.centroid[self._slots] - self.centroid[self._slots[i]]
+        d2 = np.einsum("ij,ij->i", gaps, gaps)
+        d2[np.isnan(d2)] = np.inf
+        return d2
+
+    def _look_after(self, i: int, d2: np.ndarray) -> None:
+        after = d2[i + 1 :]
+        if len(after):
+            at = int(after.argmin())
+            self._gap[i], self._next[i] = after[at], i + 1 + at
 
     def refresh(self):
         """End of the tick: centroids and deviations from the current features."""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tickfold.config import ModelConfig, run_dir
-from tickfold.operators.absorb import absorb, combine_groups, left_over, partial_sums
+from tickfold.operators.absorb import absorb, left_over, partial_sums
+from tickfold.operators.cells import cell_width, group_outliers
 from tickfold.operators.features import sum_features
 from tickfold.operators.lineage import subtract_related
 from tickfold.operators.nearest import Model
@@ -26,10 +27,6 @@ from tickfold.plans.settle import (
 )
 from tickfold.sources.points import read_text_points, valid_points
 
-# One task merges the outlier groups of this many tasks.
-FAN_IN = 16
-
-
 class OnlineModel:
     """Micro-clusters of a stream.
 
@@ -148,7 +145,7 @@ class OnlineModel:
         state, model = self._without_expired(state, model, meta["tc"], tc)
 
         grouped = cfg.outliers == "partitioned"
-        work = absorb(points, model, cfg.t_factor, mu, sd, grouped)
+        work = absorb(points, model, cfg.t_factor, mu, sd)
         # Read twice below, and the batch is not to be assigned twice. If an
         # executor is lost, its part is computed again from the source.
         work = work.persist()
@@ -162,16 +159,23 @@ class OnlineModel:
             if size["n"] == 0:
                 return None
             desk = desk_rows(state, STATE_STAGE, next_id=meta["next_id"])
-            if size["rows"] <= cfg.chunk_rows:
+            if grouped:
+                # What one task places is bounded by the settings, not by the batch.
+                desk = desk.union(desk_rows(partial_sums(work, cfg.dims), DELTA_STAGE))
+                scratch = f"{self.ledger.root}/scratch/tc={tc}"
+                if size["out_rows"]:
+                    width = cell_width(model.rmsd, cfg.dims, cfg.t_factor)
+                    groups, _ = group_outliers(left_over(work), width, cfg.dims, cfg.max_groups, scratch)
+                    desk = desk.unionByName(desk_rows(groups, OUTLIER_STAGE))
+                self._write(settle(desk, self._rule(tc)), tc)
+                self.ledger.drop(scratch)
+            elif size["rows"] <= cfg.chunk_rows:
                 # Few enough for one task as they are: no need to add them up first.
                 stage = f"if(pos is null, {OUTLIER_STAGE}, {DELTA_STAGE})"
                 self._write(settle(desk.union(desk_rows(work, stage)), self._rule(tc)), tc)
             else:
                 desk = desk.union(desk_rows(partial_sums(work, cfg.dims), DELTA_STAGE))
-                rest, rest_rows = left_over(work), size["out_rows"]
-                if grouped:
-                    rest, rest_rows = self._condense(rest, rest_rows, model)
-                self._settle(desk, rest, rest_rows, tc)
+                self._settle(desk, left_over(work), size["out_rows"], tc)
         finally:
             work.unpersist()
             state.unpersist()
@@ -196,15 +200,6 @@ class OnlineModel:
         rows = state.select("pos", "mc_id", "centroid", "rmsd").collect()
         return state, Model.of_rows(rows)
 
-    def _condense(self, groups, rows, model):
-        cfg = self.config
-        bound = max(cfg.chunk_rows, cfg.q)
-        while rows > bound:
-            parts = max(1, rows // (cfg.q * FAN_IN))
-            groups = combine_groups(groups, model, cfg.t_factor, parts)
-            rows = parts * cfg.q
-        return groups, rows
-
     def _settle(self, desk, outliers, rows, tc):
         """Place the outliers, at most ``chunk_rows`` of them in one task."""
         rule = self._rule(tc)
