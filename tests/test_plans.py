@@ -77,13 +77,15 @@ def test_standardising_broadcasts_counted_moments_only(events, monkeypatch):
 
 def test_snapshots_are_read_by_partition(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "root"))
-    rows = [(0, 0, 1, [1.0], [1.0], t, t * t, [0], [1.0], 0.0, "state", t) for t in (1, 2, 3)]
+    rows = [(0, 0, 1, [1.0], [1.0], t, t * t, [0], [1.0], 0.0, "state", t, 0) for t in (1, 2, 3)]
     ledger.write(spark.createDataFrame(
         rows, "pos int, mc_id bigint, n bigint, cf1x array<double>, cf2x array<double>, "
         "cf1t bigint, cf2t bigint, ids array<bigint>, centroid array<double>, rmsd double, "
-        "kind string, tc bigint"))
+        "kind string, tc bigint, part bigint"))
     for t in (1, 2, 3):
-        (tmp_path / "root" / "meta" / f"tc={t}").mkdir(parents=True)
+        folder = tmp_path / "root" / "meta" / f"tc={t}"
+        folder.mkdir(parents=True)
+        (folder / "record-0.json").write_text("{}")
     plan = plan_of(ledger.snapshots().where("tc = 2"))
     assert "PartitionFilters" in plan and "tc" in plan.split("PartitionFilters")[1][:120]
     assert ledger.ticks() == [1, 2, 3]

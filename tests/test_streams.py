@@ -86,8 +86,74 @@ def test_a_gap_in_time_is_a_gap_in_ticks(spark, make_points):
     model = OnlineModel(spark, ModelConfig(q=2, dims=1, seed=1))
     assert model.step(make_points([[1], [2]]), 3, tick=3)["tc"] == 3
     assert model.step(make_points([[1], [2]]), 9, tick=9)["tc"] == 9
-    # The clock never goes back.
-    assert model.step(make_points([[1], [2]]), 10, tick=5)["tc"] == 10
+    # The clock never goes back, and late points do not move it.
+    row = model.step(make_points([[1], [2], [3]]), 10, tick=5)
+    assert (row["tc"], row["part"], row["n_late"]) == (9, 1, 3)
+
+
+def test_late_ticks_are_parts_of_the_current_one(spark, make_points, tmp_path):
+    root = str(tmp_path / "m")
+    config = ModelConfig(q=3, dims=1, seed=1, scaling="none")
+    seen, rows = [], [[1.0], [2.0], [7.0]]
+    for number, tick in enumerate((5, 3, 4, 6, 6, 2)):
+        for _ in range(2):  # each batch delivered twice, to a new instance
+            row = OnlineModel(spark, config, root).step(make_points(rows, 10 * number), number, tick)
+        seen.append((row["tc"], row["part"], row["n_late"], row["n_total"]))
+    assert seen == [(5, 0, 0, 3), (5, 1, 3, 6), (5, 2, 3, 9), (6, 0, 0, 12), (6, 1, 0, 15), (6, 2, 3, 18)]
+    ledger = OnlineModel(spark, config, root).ledger
+    assert ledger.ticks() == [5, 6]
+    counts = {r["tc"]: r["sum(n)"] for r in ledger.snapshots().groupBy("tc").sum("n").collect()}
+    assert counts == {5: 9, 6: 18}
+    deltas = {r["tc"]: (r["n"], r["t"]) for r in ledger.snapshots("delta").groupBy("tc").agg(
+        F.sum("n").alias("n"), F.sum("cf1t").alias("t")).collect()}
+    assert deltas == {5: (9, 45), 6: (9, 54)}
+    # Of tick 5 only the last state is kept, of tick 6 the last two.
+    assert ledger.parts(5) == [2] and ledger.parts(6) == [1, 2]
+
+
+def test_rejects_are_counted_in_the_pass(spark, tmp_path):
+    points = spark.createDataFrame(
+        [(1, [1.0]), (2, None), (3, [float("nan")]), (4, [2.0]), (5, [1.0, 2.0])], "point_id bigint, x array<double>"
+    )
+    for i, scaling in enumerate(("batch", "none", "fixed")):
+        model = OnlineModel(spark, ModelConfig(q=2, dims=1, scaling=scaling), str(tmp_path / scaling))
+        for number in range(2):
+            row = model.step(points, number)
+            assert (row["n_batch"], row["n_rejected"], row["n_late"]) == (2, 3, 0) and row["ms"] >= 0
+
+
+def test_a_replay_is_not_repeated_after_its_records_are_pruned(spark, make_points, tmp_path):
+    origin = datetime(2024, 1, 1)
+    rows = [(i, origin + timedelta(hours=i), float(i % 5)) for i in range(60)]
+    table = spark.createDataFrame(rows, "id bigint, at timestamp_ntz, v double")
+    clock = EventClock("at", origin, timedelta(days=1))
+    model = OnlineModel(spark, ModelConfig(q=3, dims=1, seed=1, alpha=2, l=1), str(tmp_path / "m"))
+    again = lambda m: runner.replay(table, clock, lambda d: src.read_table_points(d, ["v"], "id"), m)
+    assert [m["tc"] for m in again(model)] == [1, 2, 3]
+    for tick in (1000, 1001):
+        model.step(make_points([[1], [2]], tick), tick, tick=tick, source="live")
+    assert model.ledger.ticks() == [1000, 1001]
+    assert again(OnlineModel(spark, model.config, str(tmp_path / "m"))) == [] and model.total_points == 64
+    # More of the history comes in later: only its new tick is folded, into the current one.
+    more = table.union(spark.createDataFrame([(99, origin + timedelta(days=5), 1.0)], table.schema))
+    row, = runner.replay(more, clock, lambda d: src.read_table_points(d, ["v"], "id"),
+                         OnlineModel(spark, model.config, str(tmp_path / "m")))
+    assert (row["tc"], row["part"], row["n_late"], row["n_total"]) == (1001, 1, 1, 65)
+
+
+def test_late_points_of_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "id bigint, tc bigint, v double"
+    for rows in ([(1, 5, 1.0), (2, 5, 2.0)], [(3, 3, 1.0), (4, 6, 2.0), (5, 5, 3.0)], [(6, 4, 9.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        model = OnlineModel(spark, ModelConfig(q=2, dims=1, scaling="none"), str(tmp_path / "m"))
+        live = spark.readStream.schema(schema).parquet(folder)
+        points = live.select(F.col("id").alias("point_id"), F.array("v").alias("x"), "tc")
+        records = []
+        runner.start(points, model, str(tmp_path / "c"), lambda m, row: records.append(row), NOW).awaitTermination()
+        last = [(r["tc"], r["part"], r["n_batch"], r["n_late"]) for r in records]
+    assert last == [(6, 1, 1, 1)]
+    assert model.total_points == 6 and model.ledger.ticks() == [5, 6]
 
 
 def test_streaming_kmeans_continues(spark, tmp_path):

@@ -754,6 +754,32 @@ def _replayed(spark, d, config=STREAM, on_tick=None):
     return model, rows
 
 
+# Spans of five days in the order in which they arrive.
+ARRIVAL = (3, 1, 2, 5, 4, 6)
+
+
+@query
+def late_ticks(spark, d):
+    """Records of a stream whose spans of five days come out of order, with rejects.
+
+    A late span is a part of the tick that the clock stands at.
+    """
+    model = OnlineModel(spark, replace(STREAM, scaling="none", init="random", min_init_points=0))
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    events = src.read_table_points(
+        T.table(spark, d, "events"), [value, F.hour("ts")], "event_id",
+        {"tc": F.ceil(T.CLOCK.tick() / 5).cast("bigint")},
+    )
+    rows = [
+        model.step(events.where(F.col("tc") == tick), number, tick, "arrival")
+        for number, tick in enumerate(ARRIVAL)
+    ]
+    fields = ("tc", "part", "n_batch", "n_total", "n_late", "n_rejected")
+    return spark.createDataFrame(
+        [tuple(row[f] for f in fields) for row in rows], ", ".join(f"{f} bigint" for f in fields)
+    )
+
+
 @query
 def online_tick_totals(spark, d):
     """What the ledger says arrived in each day, unscaled; nothing may be lost.

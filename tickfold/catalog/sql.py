@@ -695,3 +695,16 @@ SQL["outlier_maintenance"] = _placed(_SINGLE, _JOINS)
 SQL["outlier_maintenance_flat"] = _placed(_SINGLE, "false")
 SQL["outliers_grouped"] = _placed(_GROUPS, _JOINS)
 SQL["outliers_grouped_flat"] = _placed(_GROUPS, "false")
+
+# -- event time -----------------------------------------------------------------
+
+SQL["late_ticks"] = f"""WITH {EVENTS},
+arrival(k, tick) AS (VALUES (0, 3), (1, 1), (2, 2), (3, 5), (4, 4), (5, 6)),
+span AS (SELECT CAST(ceil(tc / 5) AS BIGINT) AS tick, point_id % 7 = 0 AS bad FROM v),
+counted AS (SELECT tick, count(*) FILTER (WHERE NOT bad) AS n, count(*) FILTER (WHERE bad) AS bad
+            FROM span GROUP BY tick),
+clock AS (SELECT k, tick, n, bad, max(tick) OVER (ORDER BY k) AS tc FROM arrival JOIN counted USING (tick))
+SELECT CAST(tc AS BIGINT) AS tc, row_number() OVER (PARTITION BY tc ORDER BY k) - 1 AS part, n AS n_batch,
+       CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS n_total,
+       CASE WHEN tick < tc THEN n ELSE 0 END AS n_late, bad AS n_rejected
+FROM clock"""

@@ -69,8 +69,9 @@ STATE = (
     "centroid array<double>, rmsd double"
 )
 META = (
-    "tc bigint, batch_id bigint, n_batch bigint, n_total bigint, next_id bigint, "
-    "n_outliers bigint, initialized boolean, mu array<double>, sd array<double>, source string"
+    "tc bigint, part bigint, batch_id bigint, n_batch bigint, n_total bigint, next_id bigint, "
+    "n_outliers bigint, n_late bigint, n_rejected bigint, ms bigint, initialized boolean, "
+    "mu array<double>, sd array<double>, source string"
 )
 
 

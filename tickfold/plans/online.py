@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.ml.feature import PCAModel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tickfold.config import ModelConfig, run_dir
@@ -25,12 +27,13 @@ from tickfold.plans.settle import (
     refresh,
     settle,
 )
-from tickfold.sources.points import read_text_points, valid_points
+from tickfold.sources.points import read_text_points, reject_reason
 
 class OnlineModel:
     """Micro-clusters of a stream.
 
-    Every non-empty batch is one tick of the clock. All of the state is in the
+    Every non-empty batch is one tick of the clock, or, where batches are cut by event
+    time, a part of one. All of the state is in the
     ledger below ``root``; an instance only remembers the last commit record, so
     a new one continues where the ledger ends.
     """
@@ -66,11 +69,13 @@ class OnlineModel:
         return self.meta["n_total"] if self.meta else 0
 
     def micro_clusters(self) -> DataFrame:
-        return self.ledger.state(self.current_time)
+        meta = self.meta
+        return self.ledger.state(meta["tc"], meta["part"])
 
     def batch_delta(self) -> DataFrame:
-        """What the newest tick alone brought."""
-        return self.ledger.delta(self.current_time)
+        """What the newest step alone brought."""
+        meta = self.meta
+        return self.ledger.delta(meta["tc"], meta["part"])
 
     def _before(self, batch_id: int, source: str) -> tuple[Row | None, Model | None]:
         last = self._last and self._last[0]
@@ -79,7 +84,7 @@ class OnlineModel:
         meta = self.ledger.last_before(batch_id, source)
         if meta is None:
             return None, None
-        return meta, self.ledger.model(meta["tc"])[0] if meta["initialized"] else None
+        return meta, self.ledger.model(meta["tc"], meta["part"])[0] if meta["initialized"] else None
 
     # -- one tick ------------------------------------------------------------
 
@@ -90,23 +95,39 @@ class OnlineModel:
 
         Outliers are placed in the order of ``point_id``; without that column, in
         reading order.
-        Calling again with the same ``source`` and ``batch_id`` repeats the tick from
+        Calling again with the same ``source`` and ``batch_id`` repeats the step from
         the state before it and replaces what was written; a batch of another source
-        follows the newest tick. ``tick`` moves the clock further than by one, for
-        batches cut by event time.
+        follows the newest step.
+
+        ``tick`` is the event time of the batch. The clock moves there, but never back:
+        a batch that comes late, or that belongs to the current tick, is one more part of
+        that. Points may carry an event time ``tc`` of their own, by which late ones are
+        counted. The record says how many points were late (``n_late``) and how many were
+        unusable and left out (``n_rejected``).
         """
-        cfg = self.config
+        cfg, began = self.config, time.perf_counter()
         meta, model = self._before(batch_id, source)
-        tc = (meta["tc"] if meta else 0) + 1
-        tc = max(tc, tick) if tick is not None else tc
+        now = meta["tc"] if meta else 0
+        tc = now + 1 if tick is None else max(now, tick)
+        part = meta["part"] + 1 if meta and tc == now else 0
         if "point_id" not in points.columns:
             points = points.withColumn("point_id", F.monotonically_increasing_id())
-        points = valid_points(points.select("point_id", "x"), self.input_dims)
+        bad = reject_reason(self.input_dims).isNotNull()
+        late = F.col("tc") < tc if "tc" in points.columns else F.lit(tick is not None and tick < tc)
+        # Counted by the first pass over the batch, whichever that is.
+        seen = Observation()
+        points = points.observe(
+            seen,
+            F.count(F.when(bad, 1)).alias("n_rejected"),
+            F.count(F.when(~bad & late, 1)).alias("n_late"),
+        )
+        points = points.where(~bad).select("point_id", "x")
         n, mu, sd = self._scale(points, meta)
         if n == 0:
             return None
         context = {
             "tc": tc,
+            "part": part,
             "batch_id": batch_id,
             "source": source,
             "mu": None if mu is None else [float(v) for v in mu],
@@ -124,8 +145,8 @@ class OnlineModel:
             done = self._maintain(points, mu, sd, meta, model, context)
         if done is None:
             return None
-        model, done["next_id"] = self.ledger.model(tc) if done["initialized"] else (None, 0)
-        row = self.ledger.commit(done)
+        model, done["next_id"] = self.ledger.model(tc, part) if done["initialized"] else (None, 0)
+        row = self.ledger.commit({**done, **seen.get, "ms": int(1000 * (time.perf_counter() - began))})
         self._last = (row, model)
         self.ledger.prune(tc, cfg.alpha, cfg.l, cfg.window_time)
         return row
@@ -141,7 +162,7 @@ class OnlineModel:
 
     def _maintain(self, points, mu, sd, meta, model, context) -> dict | None:
         cfg, tc = self.config, context["tc"]
-        state = self.ledger.state(meta["tc"])
+        state = self.ledger.state(meta["tc"], meta["part"])
         state, model = self._without_expired(state, model, meta["tc"], tc)
 
         grouped = cfg.outliers == "partitioned"
@@ -167,15 +188,15 @@ class OnlineModel:
                     width = cell_width(model.rmsd, cfg.dims, cfg.t_factor)
                     groups, _ = group_outliers(left_over(work), width, cfg.dims, cfg.max_groups, scratch)
                     desk = desk.unionByName(desk_rows(groups, OUTLIER_STAGE))
-                self._write(settle(desk, self._rule(tc)), tc)
+                self._write(settle(desk, self._rule(tc)), context)
                 self.ledger.drop(scratch)
             elif size["rows"] <= cfg.chunk_rows:
                 # Few enough for one task as they are: no need to add them up first.
                 stage = f"if(pos is null, {OUTLIER_STAGE}, {DELTA_STAGE})"
-                self._write(settle(desk.union(desk_rows(work, stage)), self._rule(tc)), tc)
+                self._write(settle(desk.union(desk_rows(work, stage)), self._rule(tc)), context)
             else:
                 desk = desk.union(desk_rows(partial_sums(work, cfg.dims), DELTA_STAGE))
-                self._settle(desk, left_over(work), size["out_rows"], tc)
+                self._settle(desk, left_over(work), size["out_rows"], context)
         finally:
             work.unpersist()
             state.unpersist()
@@ -200,13 +221,14 @@ class OnlineModel:
         rows = state.select("pos", "mc_id", "centroid", "rmsd").collect()
         return state, Model.of_rows(rows)
 
-    def _settle(self, desk, outliers, rows, tc):
+    def _settle(self, desk, outliers, rows, context):
         """Place the outliers, at most ``chunk_rows`` of them in one task."""
+        tc = context["tc"]
         rule = self._rule(tc)
         chunks = max(1, -(-rows // self.config.chunk_rows))
         if chunks == 1:
             full = desk.unionByName(desk_rows(outliers, OUTLIER_STAGE)) if rows else desk
-            self._write(settle(full, rule), tc)
+            self._write(settle(full, rule), context)
             return
         # More than one task should take: cut them in order and hand the slots
         # on from chunk to chunk. Same result, as placing is a fold.
@@ -225,7 +247,7 @@ class OnlineModel:
             last = chunk == chunks - 1
             done = settle(full, rule, last)
             if last:
-                self._write(done, tc)
+                self._write(done, context)
             else:
                 done.write.mode("overwrite").parquet(f"{scratch}/desk-{chunk}")
                 desk = self.spark.read.parquet(f"{scratch}/desk-{chunk}")
@@ -235,12 +257,14 @@ class OnlineModel:
         cfg = self.config
         return Rule(tc, cfg.t_factor, cfg.recursive_outliers, cfg.m_last_points, cfg.delta)
 
-    def _write(self, done: DataFrame, tc: int) -> None:
+    def _write(self, done: DataFrame, context: dict) -> None:
         kind = F.when(F.col("stage") == STATE_STAGE, "state").otherwise("delta")
         self.ledger.write(
             done.select(
                 "pos", "mc_id", "n", "cf1x", "cf2x", "cf1t", "cf2t", "ids", "centroid",
-                "rmsd", "next_id", kind.alias("kind"), F.lit(tc).cast("bigint").alias("tc"),
+                "rmsd", "next_id", kind.alias("kind"),
+                F.lit(context["tc"]).cast("bigint").alias("tc"),
+                F.lit(context["part"]).cast("bigint").alias("part"),
             )
         )
 
@@ -260,7 +284,7 @@ class OnlineModel:
         mode = cfg.init_mode
         seen = meta["n_total"] if meta else 0
         if mode == "kmeans":
-            points = self._buffered(points, tc)
+            points = self._buffered(points, context)
             total = points.count()
             n_batch = total - seen
         else:
@@ -276,28 +300,29 @@ class OnlineModel:
                 return self._record(context, meta, n_batch, 0, False)
             centers = initial.kmeans_centers(points, cfg)
         else:
-            centers = self._warm_centers(points, meta, tc)
+            centers = self._warm_centers(points, meta, context)
             # Only this batch is assigned, so it must be large enough by itself.
             if n_batch < cfg.min_init_points:
                 return self._record(context, meta, n_batch, 0, False)
-        self._found_model(points, centers, tc)
+        self._found_model(points, centers, context)
         return self._record(context, meta, n_batch, 0, True)
 
-    def _buffered(self, points, tc) -> DataFrame:
-        """Points of all ticks so far, this one stored first."""
-        root = self.ledger.path("buffer")
-        points.select("point_id", "x").write.mode("overwrite").parquet(f"{root}/tc={tc}")
-        stored = self.spark.read.schema("point_id bigint, x array<double>, tc bigint")
-        return stored.parquet(root).where(F.col("tc") <= tc)
+    def _buffered(self, points, context) -> DataFrame:
+        """Points of all steps so far, this one stored first."""
+        tc, part, root = context["tc"], context["part"], self.ledger.path("buffer")
+        points.select("point_id", "x").write.mode("overwrite").parquet(f"{root}/tc={tc}/part={part}")
+        stored = self.spark.read.schema("point_id bigint, x array<double>, tc bigint, part bigint")
+        upto = (F.col("tc") < tc) | ((F.col("tc") == tc) & (F.col("part") <= part))
+        return stored.parquet(root).where(upto)
 
-    def _warm_centers(self, points, meta, tc) -> np.ndarray:
+    def _warm_centers(self, points, meta, context) -> np.ndarray:
         """Move the provisional centers of a streaming k-means by this batch."""
         cfg = self.config
         root = self.ledger.path("warm")
         if meta is None:
             warm = initial.cold_centers(cfg)
         else:
-            rows = self.spark.read.parquet(f"{root}/tc={meta['tc']}").orderBy("pos").collect()
+            rows = self.spark.read.parquet(f"{root}/tc={meta['tc']}/part={meta['part']}").orderBy("pos").collect()
             warm = initial.WarmCenters(
                 np.array([r["center"] for r in rows]), np.array([r["weight"] for r in rows])
             )
@@ -305,10 +330,10 @@ class OnlineModel:
         table = [(i, [float(v) for v in c], float(w))
                  for i, (c, w) in enumerate(zip(warm.centers, warm.weights))]
         frame = self.spark.createDataFrame(table, "pos int, center array<double>, weight double")
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{root}/tc={tc}")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{root}/tc={context['tc']}/part={context['part']}")
         return warm.centers
 
-    def _found_model(self, points, centers, tc) -> None:
+    def _found_model(self, points, centers, context) -> None:
         """First micro-clusters: one per center, with the points nearest to it."""
         cfg = self.config
         arrived = partial_sums(absorb(points, Model.of_centers(centers)), cfg.dims)
@@ -322,7 +347,7 @@ class OnlineModel:
         desk = desk_rows(empty, STATE_STAGE, next_id=cfg.q).unionByName(
             desk_rows(arrived, DELTA_STAGE)
         )
-        self._write(settle(desk, self._rule(tc)), tc)
+        self._write(settle(desk, self._rule(context["tc"])), context)
 
 
 def initialize_from(model: OnlineModel, points: DataFrame) -> bool:

@@ -32,7 +32,8 @@ def start(
     """Start the online model on a streaming DataFrame.
 
     Every batch is a tick; if the points carry an event-time tick ``tc``, a batch
-    is cut by it, in ascending order. A batch that is repeated after a failure
+    is cut by it, in ascending order. Points of ticks that are over come late: they are
+    folded into the tick the clock stands at, and counted. A batch that is repeated after a failure
     starts from the state before it and overwrites its own output. ``on_tick``
     runs after the tick is committed, in the same batch, so it too is repeated
     with it.
@@ -49,7 +50,13 @@ def start(
             step(batch, first)
             return
         batch = batch.persist()
-        for i, tick in enumerate(catalog_of(batch)):
+        # The clock as this batch met it, also when the batch is repeated.
+        before = model.ledger.last_before(first, checkpoint)
+        now = before["tc"] if before else 0
+        ticks = catalog_of(batch)
+        if any(tick <= now for tick in ticks):
+            step(batch.where(F.col("tc") <= now), first, now)
+        for i, tick in enumerate((t for t in ticks if t > now), start=1):
             step(batch.where(F.col("tc") == tick), first + i, tick)
         batch.unpersist()
 
@@ -68,12 +75,13 @@ def replay(
 
     Each tick reads its own range of the time column, so a table laid out by time
     is read once. Ticks that replays of this model have committed are skipped, which
-    makes an interrupted replay continue; what other sources have brought is not. On a
-    model that is ahead of the history, its first ticks come after the current time.
+    makes an interrupted replay continue, however much other sources have brought since.
+    On a model that is ahead of the history, ticks that are over are folded into the
+    current one.
     """
-    before = model.ledger.latest(REPLAY)
+    done = model.ledger.position(REPLAY)
     ticks = catalog_of(history.select(clock.tick().alias("tc")))
-    ticks = [t for t in ticks if before is None or t > before["batch_id"]]
+    ticks = [t for t in ticks if done is None or t > done]
     rows = []
     for tick in ticks:
         row = model.step(to_points(history.where(clock.within(tick))), tick, tick, REPLAY)
