@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickfold.config import MAX_MODEL_BYTES, run_dir
+from tickfold.operators.spatial import closest_pair_by_leaf, nearest_other_by_leaf
 
 # Centroids of a block, and blocks that one pass over the points ships.
 BLOCK_ROWS = 4096
@@ -189,6 +190,10 @@ def nearest(points: DataFrame, mcs: DataFrame | Model) -> DataFrame:
     return _least_of(points, (_nearest_udf(b)(F.col("x")) for b in blocks))
 
 
+def _more_than_a_block(mcs: DataFrame) -> bool:
+    return mcs.select("pos").limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS
+
+
 def nearest_other(
     mcs: DataFrame, later_only: bool = False, where: Column | None = None
 ) -> DataFrame:
@@ -196,8 +201,11 @@ def nearest_other(
 
     With ``later_only`` just those with a higher ``pos`` count, so that the
     minimum over all rows is the closest pair; without it, those at distance
-    zero do not count. Rows that fail ``where`` are not looked up.
+    zero do not count. Rows that fail ``where`` are not looked up. A table of more
+    than a block is searched leaf by leaf.
     """
+    if not later_only and _more_than_a_block(mcs):
+        return nearest_other_by_leaf(mcs, where)
     asked = F.col("centroid") if where is None else F.when(where, F.col("centroid"))
     found = (_nearest_other_udf(b, later_only)(F.col("pos"), asked) for b in model_blocks(mcs))
     return _least_of(mcs.where(F.col("centroid").isNotNull()), found)
@@ -225,6 +233,8 @@ def _least_of(df: DataFrame, found) -> DataFrame:
 
 def closest_pair(mcs: DataFrame) -> DataFrame:
     """One row ``d2, pos_a, pos_b`` with pos_a < pos_b; the first pair wins ties."""
+    if _more_than_a_block(mcs):
+        return closest_pair_by_leaf(mcs)
     best = nearest_other(mcs, later_only=True).where(F.col("nearest").isNotNull())
     pair = F.struct(
         F.col("nearest.d2").alias("d2"),
