@@ -98,3 +98,15 @@ def test_horizons_join_on_keys_only(spark):
         "cf1t bigint, cf2t bigint, ids array<bigint>")
     plan = plan_of(horizon(snaps, request_frame(spark, [(2, 1)]), [1, 2], 1))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_horizon_moves_each_row_once(spark):
+    """Two exchanges, one for each side; ids are not exploded next to vectors."""
+    fields = "pos int, mc_id bigint, n bigint, cf1x array<double>, cf2x array<double>, cf1t bigint, cf2t bigint, ids array<bigint>, tc bigint"
+    rows = [(0, 0, 9 * t, [1.0 * t], [1.0 * t], t, t * t, [0], t) for t in (1, 2, 3)]
+    snapshots = spark.createDataFrame(rows, fields)
+    asked = request_frame(spark, [(3, 1)])
+    found = horizon(snapshots, asked, [1, 2, 3], 1)
+    assert found.select("n", "cf1x").collect()[0] == (9, [1.0])
+    plan = plan_of(found)
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Generate" not in plan

@@ -13,6 +13,9 @@ from tickfold.operators.lineage import subtract_related
 # so a catalog of this size stands for far more ticks than a clock can count.
 MAX_CATALOG = 1_000_000
 
+# Requests that travel to every task; more meet the snapshots by a shuffle.
+MAX_BROADCAST_REQUESTS = 100_000
+
 
 class SnapshotMissing(LookupError):
     """The asked tick has no snapshot."""
@@ -68,6 +71,8 @@ def horizon(snapshots: DataFrame, requests: DataFrame, ticks: list[int], dims: i
     is the answer. Columns: ``tc, h, t1, t2`` and those of a snapshot.
     """
     asked = as_of(requests.select("tc", "h").distinct(), ticks)
+    if requests.limit(MAX_BROADCAST_REQUESTS + 1).count() <= MAX_BROADCAST_REQUESTS:
+        asked = F.broadcast(asked)
     body = [c for c in snapshots.columns if c != "tc"]
     newer = (
         asked.withColumnRenamed("tc", "at")
