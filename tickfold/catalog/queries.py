@@ -256,6 +256,8 @@ def cf_lineitem(spark, d):
     return f.select(
         "l_returnflag", "l_linestatus", "n",
         *[r(F.col("cf1x")[i], 2).alias(f"s1_{i}") for i in range(4)],
+        # Sums of squares for each point, as the sums have more digits than a double.
+        *[r(F.col("cf2x")[i] / F.col("n"), 1).alias(f"m2_{i}") for i in range(4)],
     )
 
 
@@ -480,8 +482,9 @@ def sliding_remove(spark, d):
     gone = gone.withColumn("pos", F.col("mc_id").cast("int")).withColumn("ids", F.array("mc_id"))
     left = feat.with_rmsd(subtract_related(state, gone, [], 2, drop_ids=False))
     return left.select(
-        "pos", "n", "cf1t", "cf2t", r(F.col("cf1x")[0], 4).alias("s1_0"),
-        r(F.col("cf2x")[0], 4).alias("s2_0"), r("rmsd", 4).alias("rmsd"),
+        "pos", "n", "cf1t", "cf2t",
+        *[r(F.col(f"cf{j}x")[i], 4).alias(f"s{j}_{i}") for j in (1, 2) for i in (0, 1)],
+        r("rmsd", 4).alias("rmsd"),
     )
 
 

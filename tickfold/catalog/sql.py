@@ -230,7 +230,8 @@ SQL["cf_by_label"] = f"""WITH {EMBEDDED}
 SELECT pos AS label, n, dim, {r('s1')} AS s1, {r('s2')} AS s2 FROM lc"""
 
 SQL["cf_lineitem"] = f"""SELECT l_returnflag, l_linestatus, count(*) AS n,
-  {', '.join(f'{r(f"sum({c})", 2)} AS s1_{i}' for i, c in enumerate(_L))}
+  {', '.join(f'{r(f"sum({c})", 2)} AS s1_{i}' for i, c in enumerate(_L))},
+  {', '.join(f'{r(f"sum({c} * {c}) / count(*)", 1)} AS m2_{i}' for i, c in enumerate(_L))}
 FROM lineitem GROUP BY l_returnflag, l_linestatus"""
 
 SQL["cf_time_features"] = f"""WITH {HOURLY}
@@ -371,7 +372,7 @@ k AS (SELECT s.pos, s.n - coalesce(sum(g.n), 0) AS n, s.a1 - coalesce(sum(g.a1),
       FROM s LEFT JOIN g ON list_contains(s.ids, g.mc_id)
       GROUP BY s.pos, s.n, s.a1, s.b1, s.a2, s.b2, s.t1, s.t2)
 SELECT pos, CAST(n AS BIGINT) AS n, CAST(t1 AS BIGINT) AS cf1t, CAST(t2 AS BIGINT) AS cf2t,
-       {r('a1', 4)} AS s1_0, {r('a2', 4)} AS s2_0,
+       {r('a1', 4)} AS s1_0, {r('b1', 4)} AS s1_1, {r('a2', 4)} AS s2_0, {r('b2', 4)} AS s2_1,
        {r('sqrt(greatest((a2 + b2) / n - (a1 * a1 + b1 * b1) / (n * n), 0))', 4)} AS rmsd
 FROM k"""
 
