@@ -292,3 +292,19 @@ def test_bounds_hold_and_leaves_are_skipped():
     query = negatives._Query(tree, anchor, low[0], high[0], True)
     query.best(5, None, None, None)
     assert len(query.known) < len(tree["leaf"]) / 2
+
+
+def test_lossless_is_what_decoding_says():
+    import random
+
+    import public_tokenizers
+
+    from tickfold.llm import pieces
+
+    seg, rng = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4), random.Random(9)
+    chars = "ab é日\U0001f600▁\0 \t\n<unk>ÿ"
+    texts = ["", " ", "  a", "a  b ", "▁", "a▁b", "日本 語", "\0 a", "\0", "é\U0001f600 \U0001f600", "un <unk> 0x0A"]
+    texts += ["".join(rng.choice(chars) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for text, best in zip(texts, seg.segment_all(texts)):
+        for _, raw, same in best:
+            assert same == (seg.decode(np.frombuffer(raw, "<u4").tolist()) == text), repr(text)

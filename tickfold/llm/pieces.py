@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +126,11 @@ class BestPaths:
                 raise ValueError("no place for a piece of this vocabulary")
 
     _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    # Not zero, so that a null character in front makes a difference.
+    _SEED = np.uint64(0x2545F4914F6CDD1D)
 
     def _hash(self, piece: str) -> int:
-        h = 0
+        h = int(self._SEED)
         for c in piece:
             h = ((h ^ ord(c)) * int(self._FACTOR) + 1) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 29
@@ -144,8 +147,12 @@ class BestPaths:
         k = np.where((k >= 0) & (self.keys[k] == h), k, self.second[b])
         return np.where((k >= 0) & (self.keys[k] == h), k, -1)
 
-    def of(self, words: list[str]) -> list[tuple[float, float, bytes]]:
-        """``score, gap, ids`` of each word; the gap is infinite where there is one path."""
+    def of(self, words: list[str]) -> list[tuple[float, float, bytes, bool]]:
+        """``score, gap, ids`` of each word; the gap is infinite where there is one path.
+
+        Last comes whether all of its characters stand in pieces of its own letters: such a
+        word is spelled by its pieces, the others have to be looked at.
+        """
         out: list = [None] * len(words)
         by_size: dict[int, list[int]] = {}
         for at, word in enumerate(words):
@@ -154,13 +161,13 @@ class BestPaths:
             else:
                 best = n_best(self.v, word, 2)
                 gap = best[0][0] - best[1][0] if len(best) > 1 else float("inf")
-                out[at] = (best[0][0], gap, np.array(best[0][1], dtype="<u4").tobytes())
+                out[at] = (best[0][0], gap, np.array(best[0][1], dtype="<u4").tobytes(), False)
         for size, where in by_size.items():
             for at, found in zip(where, self._same_size([words[i] for i in where], size), strict=True):
                 out[at] = found
         return out
 
-    def _same_size(self, words: list[str], size: int) -> Iterator[tuple[float, float, bytes]]:
+    def _same_size(self, words: list[str], size: int) -> Iterator[tuple[float, float, bytes, bool]]:
         m = len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes = np.ascontiguousarray(codes.reshape(m, size).T).astype(np.uint64)
@@ -170,7 +177,7 @@ class BestPaths:
         piece_of = np.full((size + 1, m), -1, dtype=np.int64)
         top[0] = 0.0
         for start in range(size):
-            h = np.zeros(m, dtype=np.uint64)
+            h = np.full(m, self._SEED)
             for end in range(start + 1, min(size, start + self.v.longest) + 1):
                 h = (h ^ codes[end - 1]) * self._FACTOR + np.uint64(1)
                 h ^= h >> np.uint64(29)
@@ -206,9 +213,9 @@ class BestPaths:
                 ids: list[int] = []
                 for i in path[r][used[r]].tolist():
                     ids += self.v.spelled(words[r][-2 - i]) if i < 0 else [i]
-                yield score, g, np.array(ids, dtype="<u4").tobytes()
+                yield score, g, np.array(ids, dtype="<u4").tobytes(), False
             else:
-                yield score, g, flat[lo:hi]
+                yield score, g, flat[lo:hi], True
 
 
 def words_of(text: str) -> list[str]:
@@ -241,25 +248,42 @@ class Segmenter:
     def __init__(self, path: str, n: int = N_BEST):
         self.v, self.n = vocabulary(path), n
         paths = BestPaths(self.v)
-        self._memo = WordMemo(lambda words: paths.of([lattice_of(w) for w in words]), MEMO)
-        self._choices = WordMemo(lambda words: [self._ranked(w) for w in words], CHOICES)
-
-    def _ranked(self, word: str) -> list[tuple[float, bytes]]:
-        return [(s, np.array(ids, dtype="<u4").tobytes()) for s, ids in n_best(self.v, lattice_of(word), self.n)]
-
-    def segment_all(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
-        """The n best segmentations of each text: scores and little-endian 32-bit ids.
-
-        An empty text has one, without pieces.
+        self._memo = WordMemo(lambda words: self._best(paths, [lattice_of(w) for w in words]), MEMO)
+        self._choices = WordMemo(lambda words: [self._ranked(lattice_of(w)) for w in words], CHOICES)
+
+    def _best(self, paths: BestPaths, lattices: list[str]) -> list[tuple[float, float, bytes, bool]]:
+        return [
+            (score, gap, ids, own or self._spelled(np.frombuffer(ids, dtype="<u4").tolist()) == lattice)
+            for lattice, (score, gap, ids, own) in zip(lattices, paths.of(lattices), strict=True)
+        ]
+
+    def _ranked(self, lattice: str) -> list[tuple[float, bytes, bool]]:
+        return [
+            (s, np.array(ids, dtype="<u4").tobytes(), self._spelled(list(ids)) == lattice)
+            for s, ids in n_best(self.v, lattice, self.n)
+        ]
+
+    def segment_all(self, texts: list[str]) -> list[list[tuple[float, bytes, bool]]]:
+        """The n best segmentations of each text: scores, little-endian 32-bit ids, and
+        whether these spell the text again.
+
+        An empty text has one, without pieces. A word's pieces are spelled once for the
+        word: every word begins with a mark, so none shares bytes of a character with the
+        next. A text with marks of its own is never spelled again.
         """
         split = [words_of(t) if t else [] for t in texts]
         memo = self._memo.of(set().union(*split))
-        return [self._put_together(words, memo) for words in split]
+        return [
+            [(s, ids, not bad and SPACE not in text) for s, ids, bad in self._put_together(words, memo)]
+            for text, words in zip(texts, split, strict=True)
+        ]
 
-    def _put_together(self, words: list[str], memo: dict) -> list[tuple[float, bytes]]:
+    def _put_together(self, words: list[str], memo: dict) -> list[tuple[float, bytes, int]]:
+        """Scores, ids, and the number of words that are not spelled again."""
         if not words:
-            return [(0.0, b"")]
-        scores, gaps, raw = zip(*map(memo.__getitem__, words), strict=True)
+            return [(0.0, b"", 0)]
+        scores, gaps, raw, fine = zip(*map(memo.__getitem__, words), strict=True)
+        lost = len(words) - sum(fine)
         top = sum(scores)
         # Of the n best, none changes a word whose second choice is not among the n - 1 cheapest.
         gap = np.array(gaps)
@@ -275,24 +299,30 @@ class Segmenter:
             loss, choice = heapq.heappop(queue)
             if len(choice) < len(where):
                 options = ranked[words[where[len(choice)]]]
-                for c, (score, _) in enumerate(options):
+                for c, (score, _, _) in enumerate(options):
                     heapq.heappush(queue, (loss + options[0][0] - score, (*choice, c)))
                 continue
-            parts = raw
+            parts, bad = raw, lost
             if any(choice):
                 parts = list(raw)
                 for i, c in zip(where, choice, strict=True):
-                    parts[i] = ranked[words[i]][c][1]
-            out.append((top - loss, b"".join(parts)))
+                    _, parts[i], again = ranked[words[i]][c]
+                    bad += fine[i] - again
+            out.append((top - loss, b"".join(parts), bad))
         return out
 
     def segment(self, text: str) -> list[tuple[float, list[int]]]:
-        return [(s, np.frombuffer(ids, dtype="<u4").tolist()) for s, ids in self.segment_all([text])[0]]
+        return [(s, np.frombuffer(ids, dtype="<u4").tolist()) for s, ids, _ in self.segment_all([text])[0]]
 
     def decode(self, ids: list[int]) -> str:
         """The text that these pieces spell."""
+        # The mark in front was put there; other marks are spaces.
+        return self._spelled(ids).replace(SPACE, " ")[1:]
+
+    def _spelled(self, ids: list[int]) -> str:
+        """The lattice that these pieces spell, with its marks."""
         if self.v.byte_of.keys().isdisjoint(ids):
-            return "".join(map(self.v.pieces.__getitem__, ids)).replace(SPACE, " ")[1:]
+            return "".join(map(self.v.pieces.__getitem__, ids))
         out, raw = [], bytearray()
         for i in ids:
             if i in self.v.byte_of:
@@ -304,8 +334,18 @@ class Segmenter:
             out.append(self.v.pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        # The mark in front was put there; other marks are spaces.
-        return "".join(out).replace(SPACE, " ")[1:]
+        return "".join(out)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of so many bytes of ``text``, or of one longer text; words new to a slice are worked out together."""
+    for batch in small_batches(batches, rows):
+        upto = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, upto[stop - 1]
 
 
 def encode(
@@ -321,15 +361,14 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(model, n)
-        for batch in small_batches(batches, 256):
+        for batch in text_batches(batches):
             rows: list[tuple] = []
             texts = texts_of(batch, "text")
             found = segmenter.segment_all(texts)
-            for doc_id, text, best in zip(batch.column("doc_id").to_pylist(), texts, found, strict=True):
-                for rank, (score, raw) in enumerate(best):
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    same = segmenter.decode(ids.tolist()) == text
-                    rows.append((doc_id, rank, score, len(ids), zlib.crc32(raw), same, ids if with_ids else None))
+            for doc_id, best in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                for rank, (score, raw, same) in enumerate(best):
+                    ids = np.frombuffer(raw, dtype="<u4") if with_ids else None
+                    rows.append((doc_id, rank, score, len(raw) // 4, zlib.crc32(raw), same, ids))
             kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "lossless", "ids"]
             columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
