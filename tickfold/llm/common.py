@@ -78,12 +78,15 @@ class WordMemo:
 
     def of(self, words: set[str]) -> dict:
         """A table that has at least these words; new ones are computed together."""
-        missing = words - self._new.keys()
+        # Word by word: a difference with the keys would walk the whole table each time.
+        missing = [word for word in words if word not in self._new]
         if self._new and len(self._new) + len(missing) > self._size:
-            self._old, self._new, missing = self._new, {}, words
-        kept = missing & self._old.keys()
-        for word in kept:
-            self._new[word] = self._old[word]
-        todo = list(missing - kept)
+            self._old, self._new, missing = self._new, {}, list(words)
+        todo = []
+        for word in missing:
+            if word in self._old:
+                self._new[word] = self._old[word]
+            else:
+                todo.append(word)
         self._new.update(zip(todo, self._compute(todo), strict=True))
         return self._new
