@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,43 @@ from tickfold.config import run_dir
 BROADCAST_ROWS = 10_000
 SALTS = 32
 
+# Paths written since the innermost ``result_of`` began.
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage."""
     path = run_dir(df.sparkSession, label)
     df.write.parquet(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def result_of(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> DataFrame:
+    """What ``make`` returns, written; all tables stored on the way are removed after that."""
+    tables: list[str] = []
+    token = _TABLES.set(tables)
+    try:
+        result = stored(make(), label)
+    finally:
+        _TABLES.reset(token)
+    for path in tables[:-1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if (outer := _TABLES.get()) is not None:
+        outer.append(tables[-1])
+    return result
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(docs: DataFrame, row: str = "_row") -> DataFrame:
     """A number for each row, the same whenever the same files are read again."""
     return docs.withColumn(row, F.monotonically_increasing_id())
@@ -40,10 +70,14 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, row: str = "_row") -> DataFrame:
-    """The numbered rows of ``docs`` listed in ``kept``, in the columns of ``docs``."""
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != row]
-    return docs.join(kept.select(row), row, "left_semi").select(*columns)
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose numbers ``kept`` lists as ``_row``, in the columns of ``docs``.
+
+    The list grows with the documents, so both sides are shuffled at every size.
+    """
+    row = free_name("_row", docs.columns)
+    listed = kept.select(F.col("_row").alias(row)).hint("merge")
+    return numbered(docs, row).join(listed, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

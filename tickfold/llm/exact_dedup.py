@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickfold.llm.common import SALTS, keep_rows, numbered, stored
+from tickfold.llm.common import SALTS, keep_rows, numbered, result_of, stored
 
 BLOCK_CHARS = 8192
 BUCKETS = 1 << 16
@@ -135,5 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, in its own columns."""
-    decided = stored(exact_dedup(docs, id_col, text_col).where("kept").select("_row"), "kept")
-    return keep_rows(numbered(docs), decided)
+    kept = result_of(
+        lambda: exact_dedup(docs, id_col, text_col).where("kept").select("_row"), docs.sparkSession, "kept"
+    )
+    return keep_rows(docs, kept)

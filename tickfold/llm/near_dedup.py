@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickfold.llm.common import keep_rows, numbered, small_batches, stored, texts_of
+from tickfold.llm.common import keep_rows, numbered, result_of, small_batches, stored, texts_of
 from tickfold.llm.components import components
 
 WORDS = 5
@@ -554,5 +554,8 @@ def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, in its own columns."""
-    kept = stored(near_dedup(docs, percent, id_col=id_col, text_col=text_col).where("kept").select("_row"), "kept")
-    return keep_rows(numbered(docs), kept)
+    kept = result_of(
+        lambda: near_dedup(docs, percent, id_col=id_col, text_col=text_col).where("kept").select("_row"),
+        docs.sparkSession, "kept",
+    )
+    return keep_rows(docs, kept)

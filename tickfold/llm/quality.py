@@ -10,15 +10,26 @@ evidence, shifted by what its site (without it) says compared with all sites.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickfold.llm import logistic
-from tickfold.llm.common import keep_rows, lookup_join, numbered, small_batches, stored, texts_of
+from tickfold.llm.common import (
+    BROADCAST_ROWS,
+    free_name,
+    keep_rows,
+    lookup_join,
+    numbered,
+    result_of,
+    small_batches,
+    stored,
+    texts_of,
+)
 
 SAMPLE = 20_000  # labelled documents that training reads, at most
 BINS = 16
@@ -99,11 +110,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return logistic.fit([np.array(r.found) for r in rows], np.array([r.good for r in rows], dtype=float), DIMS)
 
 
+def _probabilities(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    logits = np.array([weights[features(t)].sum() for t in texts]) + weights[-1]
+    return np.clip(1 / (1 + np.exp(-np.clip(logits, -30, 30))), CLIP, 1 - CLIP)
+
+
 def _evidence(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            logits = np.array([weights[features(t)].sum() for t in texts_of(batch, "text")]) + weights[-1]
-            p = np.clip(1 / (1 + np.exp(-np.clip(logits, -30, 30))), CLIP, 1 - CLIP)
+            p = _probabilities(texts_of(batch, "text"), weights)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("_row", "doc_id", "host", "path")), pa.array(p)],
                 names=["_row", "doc_id", "host", "path", "p_doc"],
@@ -130,22 +145,19 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return float(np.clip(within / max(spread, 1e-9), 1.0, 1e6))
 
 
-def quality(
-    docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-    host_col: str = "source", path_col: str = "lang",
-) -> DataFrame:
-    """``_row, doc_id, p_doc, p_host, p_path, score, kept`` of every row.
-
-    Null texts count as empty, null hosts and paths as a site of their own. Repeated rows
-    count each. ``score`` is the probability of good quality, ``kept`` from 0.5 on. An empty
-    table gives no rows. ``docs`` must come from stored files, as its rows are numbered.
-    """
-    slim = numbered(docs).select(
-        "_row", F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"),
-        F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"),
-        F.col(f"`{text_col}`").alias("text"),
+def _slim(docs: DataFrame, row: str, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+    return numbered(docs, row).select(
+        F.col(row).alias("_row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
+        _site(host_col).alias("host"), _site(path_col).alias("path"), F.col(f"`{text_col}`").alias("text"),
     )
+
+
+def _site(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def _evidence_of(slim: DataFrame, weights: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Each document's own probability, and a table of all sites with what their levels are worth."""
     scored = stored(
         slim.mapInArrow(_evidence(weights), "_row bigint, doc_id bigint, host string, path string, p_doc double"), "evidence"
     )
@@ -154,27 +166,69 @@ def quality(
     hosts = stored(paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(np.clip(total.s / total.n, 0.01, 0.99)) if total.n else 0.5
-    host_worth, path_worth = _strength(hosts, mean), _strength(paths, mean)
-    sites = stored(
-        paths.select("host", "path", F.col("n").alias("n_path"), F.col("s").alias("s_path")).join(
-            hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host")), "host"
-        ),
-        "sites",
+    sites = paths.select("host", "path", F.col("n").alias("n_path"), F.col("s").alias("s_path")).join(
+        hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host")), "host"
     )
-    joined = lookup_join(scored, sites, ["host", "path"])
-    # The document itself is left out of its site's evidence.
-    p_host = (host_worth * mean + F.col("s_host") - F.col("p_doc")) / (host_worth + F.col("n_host") - 1)
-    joined = joined.withColumn("p_host", p_host)
-    p_path = (path_worth * F.col("p_host") + F.col("s_path") - F.col("p_doc")) / (path_worth + F.col("n_path") - 1)
-    joined = joined.withColumn("p_path", F.least(F.greatest(p_path, F.lit(CLIP)), F.lit(1 - CLIP)))
+    known = {"mean": mean, "host_worth": _strength(hosts, mean), "path_worth": _strength(paths, mean)}
+    return scored, stored(sites.withColumns({k: F.lit(v) for k, v in known.items()}), "sites")
+
+
+def _posteriors(of: Callable[[str], Column]) -> tuple[Column, Column, Column]:
+    """``p_host``, ``p_path`` and the score, from a document's evidence and its site's row."""
     odds = lambda p: F.log(p / (1 - p))
-    shift = F.least(F.greatest(odds(F.col("p_path")) - logistic.logit(mean), F.lit(-MAX_SHIFT)), F.lit(MAX_SHIFT))
-    score = 1 / (1 + F.exp(-(odds(F.col("p_doc")) + shift)))
-    return joined.select("_row", "doc_id", "p_doc", "p_host", "p_path", score.alias("score"), (score >= 0.5).alias("kept"))
+    p_doc, mean = of("p_doc"), of("mean")
+    # The document itself is left out of its site's evidence.
+    p_host = (of("host_worth") * mean + of("s_host") - p_doc) / (of("host_worth") + of("n_host") - 1)
+    p_path = (of("path_worth") * p_host + of("s_path") - p_doc) / (of("path_worth") + of("n_path") - 1)
+    p_path = F.least(F.greatest(p_path, F.lit(CLIP)), F.lit(1 - CLIP))
+    shift = F.least(F.greatest(odds(p_path) - odds(mean), F.lit(-MAX_SHIFT)), F.lit(MAX_SHIFT))
+    return p_host, p_path, 1 / (1 + F.exp(-(odds(p_doc) + shift)))
+
 
+def quality(
+    docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
+    host_col: str = "source", path_col: str = "lang",
+) -> DataFrame:
+    """``_row, doc_id, p_doc, p_host, p_path, score, kept`` of every row.
 
-def drop_poor(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """``docs`` without the documents of poor quality, in its own columns."""
-    names = {k: v for k, v in columns.items() if k in ("id_col", "text_col")}
-    decided = quality(docs, train(docs, labels, **names), **columns)
-    return keep_rows(numbered(docs), stored(decided.where("kept").select("_row"), "kept"))
+    Null texts count as empty, null hosts and paths as a site of their own. Repeated rows
+    count each. ``score`` is the probability of good quality, ``kept`` from 0.5 on. An empty
+    table gives no rows. ``docs`` must come from stored files, as its rows are numbered.
+    """
+    row = free_name("_row", docs.columns)
+    scored, sites = _evidence_of(_slim(docs, row, id_col, text_col, host_col, path_col), weights)
+    p_host, p_path, score = _posteriors(F.col)
+    return lookup_join(scored, sites, ["host", "path"]).select(
+        "_row", "doc_id", "p_doc", p_host.alias("p_host"), p_path.alias("p_path"),
+        score.alias("score"), (score >= 0.5).alias("kept"),
+    )
+
+
+def drop_poor(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    host_col: str = "source", path_col: str = "lang",
+) -> DataFrame:
+    """``docs`` without the documents of poor quality, in its own columns.
+
+    While the table of sites may be broadcast, texts are read and judged once more beside
+    it and never shuffled; with more sites the rows that stay are listed and joined.
+    """
+    spark = docs.sparkSession
+    columns = {"id_col": id_col, "text_col": text_col, "host_col": host_col, "path_col": path_col}
+    weights = train(docs, labels, id_col, text_col)
+    row = free_name("_row", docs.columns)
+    sites = result_of(lambda: _evidence_of(_slim(docs, row, **columns), weights)[1], spark, "sites")
+    if sites.count() > BROADCAST_ROWS:
+        kept = result_of(lambda: quality(docs, weights, **columns).where("kept").select("_row"), spark, "kept")
+        return keep_rows(docs, kept)
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series(_probabilities([t or "" for t in texts], weights))
+
+    site, p_doc = free_name("_site", docs.columns), free_name("_p_doc", docs.columns)
+    of_site = F.broadcast(sites.select(F.struct(*sites.columns).alias(site)))
+    own = (F.col(f"{site}.host") == _site(host_col)) & (F.col(f"{site}.path") == _site(path_col))
+    judged = docs.withColumn(p_doc, evidence(F.col(f"`{text_col}`"))).join(of_site, own)
+    score = _posteriors(lambda c: F.col(p_doc if c == "p_doc" else f"{site}.{c}"))[2]
+    return judged.where(score >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
