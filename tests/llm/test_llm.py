@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from tickfold.config import shared_dir
 from tickfold.llm import chat, exact_dedup, near_dedup, packing, pieces, pii, quality, queries, toxicity, urls, vectors
 from tickfold.llm.components import components
 
@@ -112,6 +114,87 @@ def test_near_dedup_against_all_pairs(spark, tmp_path, monkeypatch, node):
     )
 
 
+@pytest.mark.parametrize("most", [1 << 20, 900])
+def test_nodes_let_out_forests_only(spark, tmp_path, monkeypatch, most):
+    """Documents just below the threshold, and chains of true links among them, in one hot group."""
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 32)
+    monkeypatch.setattr(near_dedup, "LOOK_SHINGLES", most)
+    whole = _group_below(200)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(whole, "doc_id bigint, text string").write.parquet(path)
+    left = []
+    inside = near_dedup._Verifier.inside
+
+    def counted(self, rows, similarity):
+        links = inside(self, rows, similarity)
+        left.append(links.count())
+        return links
+
+    monkeypatch.setattr(near_dedup._Verifier, "inside", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.read.parquet(path), percent=80).collect()}
+    sets = {i: shingles(t) for i, t in whole}
+    close = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(0, 40, 2) for b in range(a + 2, 40, 2)]
+    assert 0.72 <= np.mean(close) < 0.8
+    assert got == least_reachable(
+        list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    )
+    assert len(set(got.values())) > 80 and sum(left) <= 200 * near_dedup.trees_for(near_dedup.RECALL, 0.8)
+
+
+def _group_below(n):
+    """Texts of 400 words; two and two share a variant that the others lack."""
+    rng, base, rows = random.Random(9), [f"b{i}" for i in range(400)], []
+    for i in range(n):
+        if i % 2 == 0:
+            words = list(base)
+            for k in rng.sample(range(80), 6):
+                words[5 * k] = f"v{i}"
+            rows.append((i, " ".join(words)))
+        else:
+            rows.append((i, rows[-1][1] + f" end{i}"))
+    return rows
+
+
+def test_no_column_is_lost(spark, tmp_path, labels):
+    """Columns called like the ones the stages add, and empty tables, in every stage."""
+    path = str(tmp_path / "d.parquet")
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 7, 0.5, "x"), (1, text, "en", "s", 8, None, None), (2, None, None, None, 9, 1.0, "y")]
+    spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, _row bigint, _p_doc double, _site string"
+    ).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = {r._row: r for r in docs.collect()}
+    for stage in (
+        lambda d: quality.drop_poor(d, labels), exact_dedup.drop_exact_copies, near_dedup.drop_near_copies, pii.redacted,
+    ):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert all(r == whole[r._row] for r in kept.collect())
+        empty = str(tmp_path / "empty.parquet")
+        docs.limit(0).write.mode("overwrite").parquet(empty)
+        none = stage(spark.read.parquet(empty))
+        assert none.columns == docs.columns and none.count() == 0
+    assert near_dedup.drop_near_copies(docs).count() == exact_dedup.drop_exact_copies(docs).count() == 2
+
+
+def test_many_sites_are_joined(spark, docs, labels, monkeypatch):
+    """The rows that stay are the same with and without a broadcast table of sites."""
+    few = quality.drop_poor(docs, labels).collect()
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    key = lambda r: (r.task, str(r))
+    assert sorted(few, key=key) == sorted(quality.drop_poor(docs, labels).collect(), key=key)
+
+
+def test_tables_on_the_way_are_removed(spark, docs):
+    """Only what a stage still reads stays in the shared folder."""
+    folder = os.path.join(shared_dir(spark), "tickfold")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    near_dedup.drop_near_copies(docs).count()
+    assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["kept"]
+
+
 def test_trees_meet_the_recall():
     assert near_dedup.trees_for(0.99, 0.85) >= 8 > near_dedup.trees_for(0.9, 0.85)
 

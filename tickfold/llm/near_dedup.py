@@ -10,15 +10,16 @@ estimated from the minimum values and from odd sketches (the parity of a set's h
 each of some bits), and what may be similar enough is confirmed on full sets.
 
 Only links that may join two groups matter for the groups, so a node offers a forest of
-the likely links first; after those are confirmed, all likely links between different
-groups are checked. A group of many similar documents thus costs links in proportion to
-its size.
+the likely links first. After those are confirmed, nodes that still hold different groups
+are looked at again: documents that may be linked to another group get their full sets,
+are compared inside the node, and a forest of the true links leaves it. So what leaves a
+node grows with its documents, also where many of them are just below the threshold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ WORDS = 5
 COORDINATES = 128
 NODE_DOCS = 256  # Larger nodes branch, and are compared in blocks at the last depth.
 BLOCK_DOCS = 512  # Documents of a block; a task holds two blocks of sketches at a time.
+LOOK_SHINGLES = 1 << 20  # Shingles of documents compared on full sets at a time, or two documents.
 DEPTH = 3
 ODD_BITS = 1024
 RECALL = 0.99
@@ -233,38 +235,14 @@ def _most_odd(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return ODD_BITS / 2 * (1 - gone) + 3.5 * spread + 2
 
 
-def _links_of_node(
-    sketch: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray,
-    similarity: float, forest: bool,
-) -> list[tuple[int, int]]:
-    """Likely links between different groups; of ``forest``, those that join new ones.
+def _forest(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[list[tuple[int, int]]]:
+    """Links of each tree over ``m`` rows; ``near`` gives the rows among some that a row links to.
 
-    Rows of different ``side`` above zero are compared with each other only, as each
-    side is also a node of its own.
+    Breadth first: whatever is linked to a row that was reached is reached through it or was before.
     """
-    m, least, links = len(n), _likely(similarity), []
-    values, odd = sketch[:, :COORDINATES], np.ascontiguousarray(sketch[:, COORDINATES:])
-    if (group == group[0]).all():
-        return links
-
-    def near(i: int, where: np.ndarray) -> np.ndarray:
-        rows = where[
-            (np.minimum(n[where], n[i]) >= similarity * np.maximum(n[where], n[i]))
-            & (group[where] != group[i])
-            & ((side[where] != side[i]) | (side[where] == 0))
-        ]
-        rows = rows[(values[rows] == values[i]).sum(axis=1) >= least]
-        differ = np.bitwise_count(odd[rows] ^ odd[i]).sum(axis=1, dtype=np.int64)
-        return rows[differ <= _most_odd(n[rows] + n[i], similarity)]
-
-    if not forest:
-        for i in range(m - 1):
-            links += [(i, int(j)) for j in near(i, np.arange(i + 1, m))]
-        return links
-    # Breadth first; a document of a group that was reached brings in the whole group.
     waiting = np.arange(m)
     while len(waiting):
-        queue = [int(waiting[0])]
+        queue, links = [int(waiting[0])], []
         waiting = waiting[1:]
         while queue and len(waiting):
             i = queue.pop()
@@ -273,59 +251,193 @@ def _links_of_node(
                 links += [(i, int(j)) for j in found]
                 waiting = np.setdiff1d(waiting, found, assume_unique=True)
                 queue += found.tolist()
-    return links
+        if links:
+            yield links
 
 
-def _links(similarity: float, forest: bool):
-    """Links of the nodes in a partition sorted by ``key``; a node is bounded in size."""
+def _comparable(i: int, where: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows of other groups whose sizes allow a link.
+
+    Rows of different ``side`` above zero are compared with each other only, as each
+    side is also a node of its own.
+    """
+    return where[
+        (np.minimum(n[where], n[i]) >= similarity * 0.999 * np.maximum(n[where], n[i]))
+        & (group[where] != group[i])
+        & ((side[where] != side[i]) | (side[where] == 0))
+    ]
+
+
+def _near_by_sketch(sketch: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, similarity: float):
+    """Likely links of a row, by what the sketches estimate."""
+    least = _likely(similarity)
+    values, odd = sketch[:, :COORDINATES], np.ascontiguousarray(sketch[:, COORDINATES:])
+
+    def near(i: int, where: np.ndarray) -> np.ndarray:
+        rows = _comparable(i, where, n, group, side, similarity)
+        rows = rows[(values[rows] == values[i]).sum(axis=1) >= least]
+        differ = np.bitwise_count(odd[rows] ^ odd[i]).sum(axis=1, dtype=np.int64)
+        return rows[differ <= _most_odd(n[rows] + n[i], similarity)]
+
+    return near
 
-    def emit(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        key, sub = t.column("key").to_numpy(), t.column("sub").to_numpy()
-        cls, n, group = (t.column(c).to_numpy() for c in ("cls", "n", "grp"))
-        side = t.column("side").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(
-            -1, COORDINATES + ODD_BITS // 8
-        )
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(sub) != 0)) + 1
-        out = []
-        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            if b - a > 1:
-                rows_ = slice(a, b)
-                for i, j in _links_of_node(sketch[rows_], n[rows_], group[rows_], side[rows_], similarity, forest):
-                    x, y = cls[a + i], cls[a + j]
-                    out.append((min(x, y), max(x, y)))
-        return out
-
-    def batch_of(links: list) -> pa.RecordBatch:
-        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+def _near_by_sets(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int):
+    """True links of a row, by counting common shingles."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
+    mark = np.zeros(len(words), dtype=bool)
+
+    def near(i: int, where: np.ndarray) -> np.ndarray:
+        rows = _comparable(i, where, n, group, side, percent / 100)
+        if not len(rows):
+            return rows
+        mark[own[i]] = True
+        starts = np.cumsum(n[rows]) - n[rows]
+        common = np.add.reduceat(mark[np.concatenate([own[j] for j in rows])], starts, dtype=np.int64)
+        mark[own[i]] = False
+        return rows[100 * common >= percent * (n[rows] + n[i] - common)]
+
+    return near
+
+
+def _by_node(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch], size: int):
+    """``work`` on the rows of whole nodes, in a partition sorted by ``keys``; a node is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in small_batches(batches, 4096):
+
+        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return work(pa.Table.from_batches(rows).combine_chunks())
+
+        for batch in small_batches(batches, size):
             if not batch.num_rows:
                 continue
             # Whole nodes leave; the last one of the batch may go on in the next.
-            key, sub = batch.column("key").to_numpy(), batch.column("sub").to_numpy()
-            last = np.flatnonzero((key == key[-1]) & (sub == sub[-1]))[0]
-            same = (
-                held
-                and held[-1].column("key")[-1].as_py() == key[-1]
-                and held[-1].column("sub")[-1].as_py() == sub[-1]
-            )
-            if last == 0 and same:
+            columns = [batch.column(k).to_numpy() for k in keys]
+            last = np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in columns]))[0]
+            if last == 0 and held and all(held[-1].column(k)[-1].as_py() == c[-1] for k, c in zip(keys, columns, strict=True)):
                 held.append(batch)
                 continue
-            if links := emit([*held, batch.slice(0, last)]):
-                yield batch_of(links)
+            if held or last:
+                yield done([*held, batch.slice(0, last)])
             held = [batch.slice(last)]
-        if held and (links := emit(held)):
-            yield batch_of(links)
+        if held:
+            yield done(held)
 
     return run
 
 
+def _cuts(t: pa.Table, keys: list[str]) -> Iterator[slice]:
+    """The nodes of two rows or more."""
+    changed = np.logical_or.reduce([np.diff(t.column(k).to_numpy()) != 0 for k in keys])
+    cuts = np.flatnonzero(changed) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True):
+        if b - a > 1:
+            yield slice(a, b)
+
+
+def _trees_of_nodes(t: pa.Table, similarity: float) -> Iterator[tuple[slice, list[list[tuple[int, int]]]]]:
+    """Nodes with the trees of their likely links between different groups."""
+    n, group, side = (t.column(c).to_numpy() for c in ("n", "grp", "side"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(
+        -1, COORDINATES + ODD_BITS // 8
+    )
+    for at in _cuts(t, ["key", "sub"]):
+        if (group[at] != group[at.start]).any():
+            near = _near_by_sketch(sketch[at], n[at], group[at], side[at], similarity)
+            yield at, list(_forest(at.stop - at.start, near))
+
+
+def _pairs(cls: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.sort(cls[np.array(links, dtype=np.int64).reshape(-1, 2)], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def _likely_forest(similarity: float):
+    def work(t: pa.Table) -> pa.RecordBatch:
+        links = [
+            (at.start + i, at.start + j) for at, trees in _trees_of_nodes(t, similarity) for tree in trees for i, j in tree
+        ]
+        return _pairs(t.column("cls").to_numpy(), links)
+
+    return _by_node(["key", "sub"], work, 4096)
+
+
+def _chunks(members: np.ndarray, n: np.ndarray, most: int) -> list[np.ndarray]:
+    """Members in runs of ``most`` shingles at most, or of one document."""
+    chunks, room = [], 0
+    for i in members:
+        if not chunks or n[i] > room:
+            chunks.append([])
+            room = most
+        chunks[-1].append(i)
+        room -= n[i]
+    return [np.array(c) for c in chunks]
+
+
+def _looks(similarity: float):
+    """``key, sub, part, cls, side, grp`` of documents that may be linked to another group.
+
+    A part is a tree of likely links. One with more shingles than a task may hold is cut
+    into chunks, and each two of them are a part of their own.
+    """
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        n, part, rows, sides = t.column("n").to_numpy(), [], [], []
+        side, number = t.column("side").to_numpy(), 0
+
+        def add(where: np.ndarray, of: np.ndarray) -> None:
+            rows.append(where)
+            sides.append(of)
+            part.append(np.full(len(where), number, dtype=np.int32))
+
+        for at, trees in _trees_of_nodes(t, similarity):
+            number = 0
+            for tree in trees:
+                members = at.start + np.unique(np.array(tree))
+                chunks = [members]
+                if n[members].sum() > LOOK_SHINGLES:
+                    chunks = _chunks(members, n, LOOK_SHINGLES // 2)
+                for x, chunk in enumerate(chunks):
+                    if len(chunk) > 1:
+                        number += 1
+                        add(chunk, side[chunk])
+                    for other in chunks[x + 1 :]:
+                        number += 1
+                        add(chunk, np.full(len(chunk), 1, dtype=side.dtype))
+                        add(other, np.full(len(other), 2, dtype=side.dtype))
+        at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(t.column("key").to_numpy()[at]), pa.array(t.column("sub").to_numpy()[at]),
+                pa.array(np.concatenate(part) if part else np.zeros(0, dtype=np.int32)),
+                pa.array(t.column("cls").to_numpy()[at]),
+                pa.array(np.concatenate(sides) if sides else side[at]),
+                pa.array(t.column("grp").to_numpy()[at]),
+            ],
+            names=["key", "sub", "part", "cls", "side", "grp"],
+        )
+
+    return _by_node(["key", "sub"], work, 4096)
+
+
+def _true_forest(percent: int):
+    """Links of each part that join its groups, confirmed on the full sets."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        group, side = t.column("grp").to_numpy(), t.column("side").to_numpy()
+        links = []
+        for at in _cuts(t, ["key", "sub", "part"]):
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column("shingles")[at].to_pylist()]
+            near = _near_by_sets(sets, group[at], side[at], percent)
+            links += [(at.start + i, at.start + j) for tree in _forest(len(sets), near) for i, j in tree]
+        return _pairs(t.column("cls").to_numpy(), links)
+
+    return _by_node(["key", "sub", "part"], work, 512)
+
+
 def _node_rows(nodes: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of nodes with what is compared, and the group each is in by now."""
     return nodes.join(
@@ -391,13 +503,14 @@ def _block_pairs(large: DataFrame, reps: DataFrame, groups: DataFrame, similarit
     )
 
 
-def _likely_links(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    ordered = rows.select("key", "sub", "cls", "side", "n", "sketch", "grp").repartition("key", "sub")
-    return (
-        ordered.sortWithinPartitions("key", "sub", "cls")
-        .mapInArrow(_links(similarity, forest), "a bigint, b bigint")
-        .distinct()
-    )
+def _ordered(rows: DataFrame, keys: list[str], *others: str) -> DataFrame:
+    """Rows with equal ``keys`` one after the other in one partition."""
+    return rows.select(*keys, "cls", "side", "grp", *others).repartition(*keys).sortWithinPartitions(*keys, "cls")
+
+
+def _likely_links(rows: DataFrame, similarity: float) -> DataFrame:
+    ordered = _ordered(rows, ["key", "sub"], "n", "sketch")
+    return ordered.mapInArrow(_likely_forest(similarity), "a bigint, b bigint").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +543,8 @@ class _Verifier:
         self.docs, self.percent = docs, percent
         self.sets: DataFrame | None = None
 
-    def _ensure(self, links: DataFrame) -> None:
-        asked = links.select(F.col("a").alias("cls")).union(links.select("b")).distinct()
+    def _ensure(self, asked: DataFrame) -> None:
+        asked = asked.distinct()
         if self.sets is not None:
             asked = stored(asked.join(self.sets.select("cls"), "cls", "left_anti"), "asked")
             if asked.isEmpty():
@@ -441,7 +554,7 @@ class _Verifier:
         self.sets = made if self.sets is None else self.sets.union(made)
 
     def __call__(self, links: DataFrame) -> DataFrame:
-        self._ensure(links)
+        self._ensure(links.select(F.col("a").alias("cls")).union(links.select("b")))
         pairs = links.join(self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(
             self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b"
         )
@@ -450,6 +563,19 @@ class _Verifier:
             "confirmed",
         )
 
+    def inside(self, rows: DataFrame, similarity: float) -> DataFrame:
+        """A forest of the true links between the groups of each node."""
+        ordered = _ordered(rows, ["key", "sub"], "n", "sketch")
+        looks = stored(
+            ordered.mapInArrow(
+                _looks(similarity), "key bigint, sub bigint, part int, cls bigint, side int, grp bigint"
+            ),
+            "looks",
+        )
+        self._ensure(looks.select("cls"))
+        full = _ordered(looks.join(self.sets, "cls"), ["key", "sub", "part"], "shingles")
+        return stored(full.mapInArrow(_true_forest(self.percent), "a bigint, b bigint").distinct(), "true")
+
 
 def near_dedup(
     docs: DataFrame, percent: int = 85, recall: float = RECALL,
@@ -495,10 +621,10 @@ def near_dedup(
         )
     nodes, first = stored(nodes, "nodes"), stored(first, "first")
     verify = _Verifier(texts, percent)
-    links = stored(_likely_links(_node_rows(first, reps, groups), similarity, True), "links")
-    tried = verify(links)
+    tried = verify(stored(_likely_links(_node_rows(first, reps, groups), similarity), "links"))
     if not tried.isEmpty() or large is not None:
-        groups = stored(components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("cls", "grp"), "groups")
+        links = tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        groups = stored(components(links).toDF("cls", "grp"), "groups")
         rest = nodes if large is None else nodes.union(_block_pairs(large, reps, groups, similarity))
         rest = _node_rows(rest, reps, groups)
         # Nodes that are one group by now need no further look.
@@ -507,11 +633,9 @@ def near_dedup(
             .where("low <> top").select("key", "sub"),
             "open",
         )
-        more = _likely_links(rest.join(open_nodes, ["key", "sub"], "left_semi"), similarity, False)
-        more = stored(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "links")
+        more = verify.inside(rest.join(open_nodes, ["key", "sub"], "left_semi"), similarity)
         if not more.isEmpty():
-            tried = tried.union(verify(more))
-            groups = stored(components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("cls", "grp"), "groups")
+            groups = stored(components(links.union(more)).toDF("cls", "grp"), "groups")
     # Back to rows: class, group, and the smallest id of the group.
     rows = signed.select("_row", "doc_id", "n", "low", "high")
     of_class = stored(
