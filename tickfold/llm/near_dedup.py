@@ -33,7 +33,7 @@ WORDS = 5
 COORDINATES = 128
 NODE_DOCS = 256  # Larger nodes branch, and are compared in blocks at the last depth.
 BLOCK_DOCS = 512  # Documents of a block; a task holds two blocks of sketches at a time.
-LOOK_SHINGLES = 1 << 20  # Shingles of documents compared on full sets at a time, or two documents.
+LOOK_SHINGLES = 1 << 19  # Shingles of documents compared on full sets at a time, or two documents.
 DEPTH = 3
 ODD_BITS = 1024
 RECALL = 0.99
@@ -430,12 +430,13 @@ def _true_forest(percent: int):
         group, side = t.column("grp").to_numpy(), t.column("side").to_numpy()
         links = []
         for at in _cuts(t, ["key", "sub", "part"]):
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column("shingles")[at].to_pylist()]
+            # Views of the batch; the sets are not copied.
+            sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in t.column("shingles")[at]]
             near = _near_by_sets(sets, group[at], side[at], percent)
             links += [(at.start + i, at.start + j) for tree in _forest(len(sets), near) for i, j in tree]
         return _pairs(t.column("cls").to_numpy(), links)
 
-    return _by_node(["key", "sub", "part"], work, 512)
+    return _by_node(["key", "sub", "part"], work, 128)
 
 
 def _node_rows(nodes: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,9 +221,12 @@ def drop_poor(
         kept = result_of(lambda: quality(docs, weights, **columns).where("kept").select("_row"), spark, "kept")
         return keep_rows(docs, kept)
 
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(_probabilities([t or "" for t in texts], weights))
+    @F.arrow_udf("double")
+    def evidence(column: pa.Array) -> pa.Array:
+        # Slices keep what Python holds at a time small.
+        parts = (column.slice(k, 512).to_pylist() for k in range(0, len(column), 512))
+        found = [_probabilities([t or "" for t in texts], weights) for texts in parts]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     site, p_doc = free_name("_site", docs.columns), free_name("_p_doc", docs.columns)
     of_site = F.broadcast(sites.select(F.struct(*sites.columns).alias(site)))
