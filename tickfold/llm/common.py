@@ -14,13 +14,28 @@ from tickfold.config import run_dir
 # A lookup table is broadcast only when it was counted and is no larger.
 BROADCAST_ROWS = 10_000
 SALTS = 32
+# Of texts or vectors that a Python worker gets at a time, besides the last row's.
+BATCH_BYTES = 4 << 20
 
 # Paths written since the innermost ``result_of`` began.
 _TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
+def small_transfers(spark: SparkSession) -> None:
+    """Bounds what is sent to a Python worker at once by its bytes, not by its rows alone.
+
+    Workers and the JVM's buffers for them keep the size of their largest batch. The setting
+    is the session's and stays; a smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage."""
+    small_transfers(df.sparkSession)
     path = run_dir(df.sparkSession, label)
     df.write.parquet(path)
     if (tables := _TABLES.get()) is not None:
@@ -95,6 +110,7 @@ def small_batches(
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_transfers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
