@@ -1,3 +1,5 @@
+from bisect import bisect_right
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,43 @@ def test_horizon_of_a_live_model_is_the_sum_of_its_deltas(spark, make_points):
     for r in swept:
         by_h[r["h"]] = by_h.get(r["h"], 0) + r["weight"]
     assert by_h == {1: 20, 2: 55, 3: 80}
+
+
+def test_as_of_merges_ticks_of_any_number(spark):
+    edges = [-(1 << 62), -70_000, -1, 0, 1, 65_535, 65_536, 1 << 17, 1 << 33, (1 << 62) + 5]
+    asked = [(t + d, h) for t in edges for d in (-1, 0, 1) for h in (0, 1, 65_536, 1 << 34)] + [(None, 1), (3, None)]
+    asked += asked[:5]  # repeated requests stay
+
+    def expected(tc, h):
+        at = bisect_right(edges, tc) if tc is not None else 0
+        if not at:
+            return tc, h, -1, -1
+        t1 = edges[at - 1]
+        older = bisect_right(edges, t1 - h) if h is not None else 0
+        return tc, h, t1, edges[older - 1] if older else edges[0]
+
+    def key(row):
+        return tuple((v is not None, v or 0) for v in row)
+
+    requests = spark.createDataFrame(asked, "tc bigint, h bigint")
+    ticks = spark.createDataFrame([(t,) for t in edges + edges[:3]] + [(None,)], "tc bigint")
+    want = sorted((expected(*r) for r in asked), key=key)
+    for known in (ticks, edges):
+        assert sorted((tuple(r) for r in history.as_of(requests, known).collect()), key=key) == want
+    none = history.as_of(requests, ticks.where("false")).select("t1", "t2").distinct()
+    assert [tuple(r) for r in none.collect()] == [(-1, -1)]
+    assert history.as_of(requests.where("false"), ticks).count() == 0
+
+
+def test_as_of_a_million_ticks(spark):
+    ticks = spark.range(0, 3_000_000, 3).select(F.col("id").alias("tc"))
+    requests = spark.range(1, 3_000_000, 7).select(F.col("id").alias("tc"), F.lit(100_000).cast("bigint").alias("h"))
+    out = history.as_of(requests, ticks)
+    t1 = F.col("tc") - F.col("tc") % 3
+    t2 = F.greatest(F.col("t1") - 100_000 - F.pmod(F.col("t1") - 100_000, F.lit(3)), F.lit(0))
+    right = out.agg(F.count("*").alias("rows"), F.count_if((F.col("t1") == t1) & (F.col("t2") == t2)).alias("good")).first()
+    assert right.rows == right.good == requests.count()
+    # The plan does not grow with the ticks.
+    few = history.as_of(requests, spark.range(0, 30, 3).select(F.col("id").alias("tc")))
+    size, least = (len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (out, few))
+    assert size < 1.05 * least

@@ -417,9 +417,9 @@ def _requests(spark, ticks):
 
 @query
 def asof_snapshots(spark, d):
-    _, kept = T.kept_snapshots(spark, d)
+    snapshots, _ = T.kept_snapshots(spark, d)
     every_day = history.catalog_of(T.event_points(spark, d))
-    return history.as_of(_requests(spark, every_day), kept)
+    return history.as_of(_requests(spark, every_day), history.ticks_of(snapshots))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickfold.functions.pyramid import retained
@@ -17,6 +17,12 @@ MAX_CATALOG = 1_000_000
 MAX_BROADCAST_REQUESTS = 100_000
 
 
+# Ticks are merged with requests in ranges of 2 ** RANGE_BITS positions; ranges of ranges
+# cover all 64-bit ticks in this many levels.
+RANGE_BITS = 16
+LEVELS = 4
+
+
 class SnapshotMissing(LookupError):
     """The asked tick has no snapshot."""
 
@@ -33,25 +39,70 @@ def request_frame(spark: SparkSession, requests: list[tuple[int, int]]) -> DataF
     return spark.createDataFrame(requests, "tc bigint, h bigint")
 
 
-def as_of(requests: DataFrame, ticks: list[int]) -> DataFrame:
+def ticks_of(snapshots: DataFrame) -> DataFrame:
+    """Ticks that have a snapshot, as a table ``tc`` of any size."""
+    return snapshots.select(F.col("tc").cast("bigint").alias("tc")).where("tc is not null").distinct()
+
+
+def _latest(asked: DataFrame, known: DataFrame, level: int = 1) -> DataFrame:
+    """``at, found``: for every row of ``asked`` (``at``) the last ``value`` of ``known`` up to it.
+
+    Both are merged in order inside ranges of positions, so a group holds at most two rows
+    per position. What a range starts with, the last value of the ranges before it, is the
+    same question about the numbers of the ranges. ``value`` must not fall with ``at``.
+    """
+    rows = asked.select("at", F.lit(None).cast("bigint").alias("value"), F.lit(True).alias("ask")).union(
+        known.select("at", "value", F.lit(False))
+    )
+    # A tick comes before the request for its own position.
+    if level == LEVELS:
+        order = Window.orderBy("at", "ask")
+        return rows.withColumn("found", F.last("value", True).over(order)).where("ask").select("at", "found")
+    part = F.shiftright("at", RANGE_BITS)
+    heads = known.groupBy(part.alias("at")).agg(F.max("value").alias("value"))
+    starts = asked.select((part - 1).alias("at")).distinct()
+    before = _latest(starts, heads, level + 1).select((F.col("at") + 1).alias("part"), F.col("found").alias("before"))
+    order = Window.partitionBy("part").orderBy("at", "ask")
+    here = rows.withColumn("part", part).withColumn("found", F.last("value", True).over(order)).where("ask")
+    return here.join(before, "part").select("at", F.coalesce("found", "before").alias("found"))
+
+
+def _with_latest(requests: DataFrame, ticks: DataFrame, limit: Column, name: str) -> DataFrame:
+    """Adds the latest tick up to ``limit``, or null. Equal limits are looked up once."""
+    placed = requests.withColumn("at", limit.cast("bigint"))
+    asked = placed.select("at").where("at is not null").distinct()
+    known = ticks.select(F.col("tc").alias("at"), F.col("tc").alias("value"))
+    found = _latest(asked, known).withColumnRenamed("found", name)
+    return placed.join(found, "at", "left").drop("at")
+
+
+def as_of(requests: DataFrame, ticks: list[int] | DataFrame) -> DataFrame:
     """Add ``t1, t2`` to requests ``tc, h``.
 
     ``t1`` is the latest tick up to ``tc`` and ``t2`` the latest up to
     ``t1 - h``, or the earliest one if the history is shorter than that. Both
     are -1 if nothing is as old as ``tc``.
-    """
-    known = F.array(*[F.lit(t).cast("bigint") for t in ticks]).cast("array<bigint>")
-
-    def latest(limit):
-        return F.array_max(F.filter(known, lambda t: t <= limit))
 
-    t1 = latest(F.col("tc"))
-    first = F.lit(min(ticks) if ticks else None).cast("bigint")
-    with_t1 = requests.withColumn("t1", t1)
-    t2 = F.coalesce(latest(F.col("t1") - F.col("h")), first)
-    return (
-        with_t1.withColumn("t2", F.when(F.col("t1").isNull(), -1).otherwise(t2).cast("bigint"))
-        .withColumn("t1", F.coalesce("t1", F.lit(-1).cast("bigint")))
+    A list of ticks travels with the plan. A table of ticks (``tc``, see ``ticks_of``) has
+    no limit: it is merged with the requests and nothing of it goes to the driver.
+    """
+    if isinstance(ticks, DataFrame):
+        ticks = ticks_of(ticks)
+        first = ticks.agg(F.min("tc")).scalar()
+        with_t1 = _with_latest(requests, ticks, F.col("tc"), "t1")
+        both = _with_latest(with_t1, ticks, F.col("t1") - F.col("h"), "t2")
+        t2 = F.coalesce("t2", first)
+    else:
+        known = F.array(*[F.lit(t).cast("bigint") for t in ticks]).cast("array<bigint>")
+
+        def latest(limit):
+            return F.array_max(F.filter(known, lambda t: t <= limit))
+
+        first = F.lit(min(ticks) if ticks else None).cast("bigint")
+        both = requests.withColumn("t1", latest(F.col("tc")))
+        t2 = F.coalesce(latest(F.col("t1") - F.col("h")), first)
+    return both.withColumn("t2", F.when(F.col("t1").isNull(), -1).otherwise(t2).cast("bigint")).withColumn(
+        "t1", F.coalesce("t1", F.lit(-1).cast("bigint"))
     )
 
 
@@ -63,7 +114,7 @@ def snapshot_at(snapshots: DataFrame, tc: int) -> DataFrame:
     return found
 
 
-def horizon(snapshots: DataFrame, requests: DataFrame, ticks: list[int], dims: int) -> DataFrame:
+def horizon(snapshots: DataFrame, requests: DataFrame, ticks: list[int] | DataFrame, dims: int) -> DataFrame:
     """Micro-clusters of the last ``h`` ticks before ``tc``, for all requests at once.
 
     The snapshot of ``t2`` is subtracted from that of ``t1`` where it is old
@@ -94,7 +145,7 @@ def centers_at(snapshots: DataFrame, tc: int) -> DataFrame:
 
 
 def horizon_centers(
-    snapshots: DataFrame, requests: DataFrame, ticks: list[int], dims: int
+    snapshots: DataFrame, requests: DataFrame, ticks: list[int] | DataFrame, dims: int
 ) -> DataFrame:
     """Centers of the horizons: ``tc, h, pos, center``."""
     return _centers(horizon(snapshots, requests, ticks, dims), ["tc", "h", "pos"])
@@ -115,7 +166,7 @@ def keep_unexpired(snapshots: DataFrame, now: int, window_time: int) -> DataFram
 
 
 def horizon_report(
-    snapshots: DataFrame, requests: DataFrame, ticks: list[int], dims: int
+    snapshots: DataFrame, requests: DataFrame, ticks: list[int] | DataFrame, dims: int
 ) -> DataFrame:
     """Non-empty micro-clusters and points in each asked horizon."""
     return (

@@ -93,7 +93,7 @@ def weighted_lloyd(x: np.ndarray, w: np.ndarray, k: int, iterations: int):
 def offline_sweep(
     snapshots: DataFrame,
     requests: DataFrame,
-    ticks: list[int],
+    ticks: list[int] | DataFrame,
     dims: int,
     k: int,
     iterations: int = 20,
