@@ -338,3 +338,27 @@ def test_weights_of_outliers(spark):
     assert sum(r["n"] for r in work) == 10
     out = next(r for r in work if r["pos"] is None)
     assert (out["n"], out["cf1x"], out["cf2x"]) == (7, [63.0], [567.0])
+
+
+def test_draws_from_many_weighted_rows(spark, monkeypatch):
+    rows = [(i, 0.0 if i % 7 == 3 else float((i * 37) % 11 + 1)) for i in range(400)] + [(400, 900.0), (401, 0.0)]
+    weighted = spark.createDataFrame(rows, "k bigint, weight double").repartition(5)
+
+    def drawn():
+        return sorted(tuple(r) for r in sampling.random_sample(weighted, "k", 3000, seed=5).collect())
+
+    by_edges = drawn()
+    monkeypatch.setattr(sampling, "MAX_EDGES", 10)
+    assert drawn() == by_edges
+    assert len(by_edges) == 3000 and all(rows[k][1] > 0 for _, k in by_edges)
+
+
+def test_draws_from_a_million_weighted_rows(spark):
+    # The weight of row i makes its interval (i^2, (i + 1)^2], so a draw shows its row.
+    n = 1_000_000
+    weighted = spark.range(n).select("id", (2.0 * F.col("id") + 1).alias("weight"))
+    drawn = sampling.random_sample(weighted, "id", 200_000, seed=2)
+    u = sampling.uniform(2, F.col("draw"))
+    place = F.sqrt(u) * n
+    far = drawn.where((place < F.col("id") - 1e-3) | (place > F.col("id") + 1 + 1e-3))
+    assert drawn.count() == 200_000 and far.isEmpty()
