@@ -10,6 +10,7 @@ from tickfold.operators import kmeans, nearest, sampling, scaling
 from tickfold.config import run_dir
 from tickfold.operators.absorb import absorb, left_over, partial_sums
 from tickfold.operators.cells import cell_width, group_outliers
+from tickfold.operators import founding
 from tickfold.operators.founding import Slots
 from tickfold.operators.nearest import Model
 from tickfold.plans import macro
@@ -249,6 +250,35 @@ def test_closest_pair_of_slots_is_kept_up_to_date():
             slots._moved.add(int(moved))
 
 
+def test_few_slots_need_three_looks_an_outlier(monkeypatch):
+    rng = np.random.default_rng(9)
+    q, many, looks = 40, 400, []
+    x = np.round(rng.normal(size=(many, 2)) * 9, 1)
+    start = np.round(rng.normal(size=(q, 2)) * 9, 1)
+
+    def placed():
+        n = np.ones(q, np.int64)
+        stale = np.arange(q) < 3
+        slots = Slots(n, start.copy(), start**2, start.copy(), np.full(q, 0.1), stale, 1.0)
+        where = [slots.place(1, p, p * p) for p in x]
+        slots.refresh()
+        return where, slots
+
+    for name in ("_distances", "_distances_to"):
+        plain = getattr(Slots, name, None)
+        monkeypatch.setattr(
+            Slots, name, lambda *a, plain=plain: (looks.append(1), plain(*a))[1], raising=False
+        )
+    where, slots = placed()
+    assert len(looks) <= 3 * many + 2 * q
+    assert any(into == -1 for _, into in where) and any(into not in (-1, None) for _, into in where)
+    monkeypatch.setattr(founding, "FEW_SLOTS", 0)
+    others, many_slots = placed()
+    assert where == others
+    np.testing.assert_allclose(slots.centroid, many_slots.centroid, rtol=1e-12)
+    np.testing.assert_allclose(slots.rmsd, many_slots.rmsd, rtol=1e-9)
+
+
 def test_weighted_sums_count_repeats(spark, make_points):
     points = make_points([[0, 1], [0, 3], [9, 9]]).withColumn("weight", F.col("point_id") + 1)
     got = kmeans.center_sums(points, np.array([[0.0, 0.0], [9.0, 9.0]])).orderBy("pos").collect()
