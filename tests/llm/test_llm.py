@@ -80,6 +80,23 @@ def least_reachable(ids, linked):
     return parent
 
 
+def test_near_dedup_writes_minima_twice_at_most(spark, tmp_path, monkeypatch):
+    path, stored, tables, plans = str(tmp_path / "d"), near_dedup.stored, [], []
+    rows = [(i, f"one two three four five six {i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+
+    def seen(df, label):
+        tables.append((label, df.columns))
+        if label == "paths":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    assert near_dedup.near_dedup(spark.read.parquet(path)).where("kept").count() == 3
+    assert [label for label, columns in tables if "minima" in columns] == ["signatures", "reps"]
+    assert plans and not any("Aggregate" in plan for plan in plans)
+
+
 def test_near_dedup_odd_rows(docs):
     got = near_dedup.near_dedup(docs).collect()
     assert len(got) == docs.count()

@@ -186,9 +186,8 @@ def _branch(trees: int, similarity: float, root: bool):
 def _nodes(reps: DataFrame, similarity: float, trees: int) -> tuple[DataFrame, DataFrame | None]:
     """``key, cls`` of nodes with two documents or more: small ones, and large ones."""
     minima = reps.select("cls", "minima")
-    level = stored(
-        minima.mapInArrow(_branch(trees, similarity, True), "key bigint, cls bigint").distinct(), "paths"
-    )
+    # A document gets no key twice: a key is drawn from the parent, the coordinate and its value.
+    level = stored(minima.mapInArrow(_branch(trees, similarity, True), "key bigint, cls bigint"), "paths")
     small = []
     for depth in range(1, DEPTH + 1):
         sizes = stored(
@@ -203,8 +202,7 @@ def _nodes(reps: DataFrame, similarity: float, trees: int) -> tuple[DataFrame, D
             level = stored(
                 large.select("key", "cls")
                 .join(minima, "cls")
-                .mapInArrow(_branch(1, similarity, False), "key bigint, cls bigint")
-                .distinct(),
+                .mapInArrow(_branch(1, similarity, False), "key bigint, cls bigint"),
                 "paths",
             )
     return _union(small), large
@@ -601,13 +599,16 @@ def near_dedup(
         "signatures",
     )
     # Documents of equal sets are one class; the join works on classes.
-    classes = stored(
-        signed.where("n > 0").groupBy("n", "low", "high").agg(
-            F.min("_row").alias("cls"), F.first("minima").alias("minima"), F.first("odd").alias("odd")
+    classes = signed.where("n > 0").groupBy("n", "low", "high").agg(
+        F.min("_row").alias("cls"), F.first("minima").alias("minima"), F.first("odd").alias("odd")
+    )
+    # The one table of classes: what is drawn from and compared is written once.
+    reps = stored(
+        classes.mapInArrow(
+            _short_sketches, "n bigint, low bigint, high bigint, cls bigint, minima binary, sketch binary"
         ),
-        "classes",
+        "reps",
     )
-    reps = stored(classes.mapInArrow(_short_sketches, "cls bigint, n bigint, minima binary, sketch binary"), "reps")
     small, large = _nodes(reps, similarity, trees_for(recall, similarity))
     nodes = small.select("key", F.lit(0).cast("bigint").alias("sub"), "cls", F.lit(0).alias("side"))
     groups = docs.sparkSession.createDataFrame([], "cls bigint, grp bigint")
@@ -640,7 +641,7 @@ def near_dedup(
     # Back to rows: class, group, and the smallest id of the group.
     rows = signed.select("_row", "doc_id", "n", "low", "high")
     of_class = stored(
-        classes.select("n", "low", "high", "cls").join(groups, "cls", "left")
+        reps.select("n", "low", "high", "cls").join(groups, "cls", "left")
         .select("n", "low", "high", F.coalesce("grp", "cls").alias("grp")),
         "of_class",
     )
@@ -672,8 +673,8 @@ def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for m, o in zip(minima, odd, strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("cls"), batch.column("n"), batch.column("minima"), pa.array(sketch, pa.binary())],
-            names=["cls", "n", "minima", "sketch"],
+            [*(batch.column(c) for c in ("n", "low", "high", "cls", "minima")), pa.array(sketch, pa.binary())],
+            names=["n", "low", "high", "cls", "minima", "sketch"],
         )
 
 
