@@ -294,6 +294,95 @@ def test_bounds_hold_and_leaves_are_skipped():
     assert len(query.known) < len(tree["leaf"]) / 2
 
 
+def searched(tables, anchors, k, same):
+    """What a block of anchors (rid, id, label, v, tree, windows) finds in trees, by anchor and window."""
+    import pyarrow as pa
+
+    window = pa.struct([(n, pa.int32() if n == "at" else pa.int64()) for n in ("at", "floor", "ceiling", "least")])
+    block = pa.table({
+        "rid": pa.array([a[0] for a in anchors], pa.int64()), "id": pa.array([a[1] for a in anchors], pa.int64()),
+        "label": pa.array([a[2] for a in anchors], pa.int64()),
+        "v": pa.array([list(a[3]) for a in anchors], pa.list_(pa.float64())),
+        "tree": pa.array([a[4] for a in anchors], pa.int32()),
+        "windows": pa.array([
+            [dict(at=i, floor=lo, ceiling=hi, least=least) for i, (lo, hi, least) in enumerate(a[5])] for a in anchors
+        ], pa.list_(window)),
+    })
+    search = negatives._Search(negatives._block(block), k, same)
+    trees = [negatives._Tree(i, negatives.pack_tree(negatives.build_tree(*t))) for i, t in enumerate(tables)]
+    for own in (True, False):
+        for tree in trees:
+            search.visit(tree, own)
+    found = defaultdict(list)
+    for r in search.found().to_pylist():
+        found[r["rid"], r["at"]].append((-r["score"], r["id"]))
+    return found
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("kinds", [4, 150])  # labels: piece by piece, or looked at pair by pair
+@pytest.mark.parametrize("scale", [1, 2**14, 2**20])  # exact in single and double precision, and in neither
+def test_a_block_of_anchors_is_compared_at_once(monkeypatch, same, kinds, scale):
+    for name, value in (("PIECE", 100), ("BLOCK", 16), ("PROBE", 5), ("LEAF", 8)):
+        monkeypatch.setattr(negatives, name, value)
+    alone = []
+    monkeypatch.setattr(negatives, "_scores", lambda v, q, f=negatives._scores: alone.append(len(v)) or f(v, q))
+    rng = np.random.default_rng(kinds)
+    tables = []
+    for number in range(3):
+        v = np.floor(200 * rng.normal(size=(900, 6))) * scale
+        v[500:] = v[rng.integers(0, 40, 400)]  # ties
+        tables.append((rng.permutation(900) + 800 * number, rng.integers(0, kinds, 900), v))
+    rows = [(int(i), int(lab), w) for t in tables for i, lab, w in zip(*t)]
+    anchors = []
+    for rid, at in enumerate(rng.integers(0, len(rows), 90)):
+        i, label, v = rows[at]
+        top = int(v @ v)
+        windows = [(None, None, None), (0, top // 2, None), (-top, 0, -top // 4), (top, 0, None)][: 1 + rid % 4]
+        anchors.append((rid, i, label, v, at // 900, windows))
+    found = searched(tables, anchors, 7, same)
+    for rid, i, label, v, _, windows in anchors:
+        mine = [int(x) for x in v]
+        scores = [(-sum(int(a) * b for a, b in zip(w, mine)), j) for j, lab, w in rows if j != i and (lab == label) == same]
+        for at, (lo, hi, least) in enumerate(windows):
+            low = max(x for x in (lo, least, -(2**62)) if x is not None)
+            fit = sorted(s for s in scores if low <= -s[0] and (hi is None or -s[0] <= hi))
+            assert found[rid, at] == fit[:7]
+    # Scores that a double holds are not worked out anchor by anchor.
+    assert bool(alone) == (scale == 2**20)
+
+
+def test_far_trees_and_pieces_are_left_out(monkeypatch):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 8)) * 400
+    tables = []
+    for number in range(4):
+        at = rng.integers(3 * number, 3 * number + 3, 3000)
+        v = np.floor(centers[at] + rng.normal(size=(3000, 8)))
+        tables.append((np.arange(3000) + 3000 * number, rng.integers(0, 3, 3000), v))
+    rows = [(i, lab, v) for t in tables for i, lab, v in zip(*t)]
+    anchors = [(n, *rows[n], n // 3000, [(None, None, None)]) for n in range(0, 12_000, 100)]
+    pairs, compare = [], negatives._Search._compare
+
+    def counted(self, tree, some, a, b, *rest):
+        pairs.append(len(some) * (b - a))
+        compare(self, tree, some, a, b, *rest)
+
+    monkeypatch.setattr(negatives._Search, "_compare", counted)
+    found = searched(tables, anchors, 5, True)
+    assert len(found) == 120 and all(len(f) == 5 for f in found.values())
+    # At home all rows of the label, of the three other trees few.
+    assert sum(pairs) < 120 * 1500
+
+
+def test_equal_positives_share_a_window(spark):
+    rng = np.random.default_rng(8)
+    v = [[float(x) for x in np.floor(100 * w)] for w in rng.normal(size=(60, 5))]
+    rows = [(i + 60 * n, i % 3, v[i]) for i in range(60) for n in range(7)]
+    got = negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), F.col("id") % 5 == 0).collect()
+    assert sorted(map(tuple, got)) == naive_negatives(rows)
+
+
 def test_lossless_is_what_decoding_says():
     import random
 
